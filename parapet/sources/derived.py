@@ -158,3 +158,51 @@ def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "projections": projections(spark, sf_dir),
         "courtyards": courtyards(spark, sf_dir),
     }
+
+
+def nested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested building documents, one per order; some break the contract on purpose."""
+
+    def pairs(x0, y0, x1, y1):
+        return f"array(array({x0}, {y0}), array({x1}, {y0}), array({x1}, {y1}), array({x0}, {y1}), array({x0}, {y0}))"
+
+    uses = "array(" + ", ".join(f"'{u}'" for u in ROOM_USES) + ")"
+    room = (
+        f"named_struct('polygon', {pairs('1D', '2D', '4D', '6D')}, 'use', case when model_id % 13 = 0 then 'attic' else"
+        f" {uses}[cast(seed % 9 as int)] end, 'floor', {{lv}}, 'openings_area_sqm', 1.5D, 'confidence', 'low')"
+    )
+
+    def floor(lv, h):
+        return (
+            f"named_struct('level', {lv}, 'is_stilt', model_id % 6 = 0 and {lv} = 0, 'footprint', {pairs('1D', '2D', 'w - 1', 'l - 2')},"
+            f" 'height_m', {h}, 'rooms', array({room.format(lv=lv)}), 'footprint_is_upper_bound', false)"
+        )
+
+    edge = "named_struct('line', array(array(0D, 0D), array(w, 0D)), 'faces_road', true, 'road_width_m', 9D, 'role', 'front')"
+    return plots(spark, sf_dir).selectExpr(
+        "model_id",
+        "element_at(array('dxf', 'vector_pdf', 'raster', 'sketch'), cast(model_id % 4 + 1 as int)) as source",
+        "named_struct('authority', case when model_id % 17 = 0 then 'NOWHERE' else authority end, 'sector', cast(null as string),"
+        " 'plot_no', cast(seed as string), 'allotment_date', allotment_date, 'rule_pack', rule_pack) as jurisdiction",
+        pairs("0D", "0D", "w", "l") + " as plot_polygon",
+        "plot_area_sqm",
+        "cast(null as array<array<double>>) as zoned_area",
+        f"array({edge}) as edges",
+        f"array({floor(0, '3.0D')}, {floor(1, 'cast(null as double)')}) as floors",
+        f"case when model_id % 3 = 0 then array(named_struct('type', 'balcony', 'polygon', {pairs('2D', '0D', '4D', '1.5D')}, 'floor', 1)) end as projections",
+        f"case when model_id % 5 = 0 then array({pairs('3D', '3D', '5D', '6D')}) end as courtyards",
+        "mumty",
+        "has_rwh",
+        "tree_count",
+        "array('derived') as assumptions",
+    )
+
+
+def entered_plot_sizes(plots_df: DataFrame) -> DataFrame:
+    """Sizes typed in by users; every fifth is off by one metre."""
+    off = "(case when model_id % 5 = 0 then 1D else 0D end)"
+    return plots_df.selectExpr("model_id", f"w + {off} as width_m", f"l + {off} as length_m")
+
+
+def elevation_widths(plots_df: DataFrame) -> DataFrame:
+    return plots_df.selectExpr("model_id", "case when model_id % 13 <> 0 then cast(4 + seed % 12 as double) end as elevation_width_m")
