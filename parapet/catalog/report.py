@@ -1 +1,155 @@
-"""Queries."""
+"""Queries for report aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parapet.catalog.base import findings_sql, query, with_findings, with_model
+from parapet.catalog.checks import all_findings
+from parapet.operators import checks as c
+from parapet.operators import report as r
+from parapet.sources import derived as d
+from parapet.sources.packs import read_packs
+
+_SEV = "CASE severity WHEN 'blocking' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 9 END"
+_STA = "CASE status WHEN 'violation' THEN 0 WHEN 'ambiguity' THEN 1 WHEN 'unknown' THEN 2 WHEN 'advisory' THEN 3 WHEN 'pass' THEN 4 END"
+_CITE = "SELECT f.*, coalesce(r.doc, k.doc) AS doc, coalesce(r.clause, 'n/a') AS clause, coalesce(r.version, 'n/a') AS version, coalesce(r.rule_status, 'seed_unverified') AS cite_status, coalesce(r.rule_pack, k.rule_pack) AS rule_pack FROM findings f LEFT JOIN rules r USING (rule_id) LEFT JOIN (SELECT DISTINCT pack_id || '.jurisdiction.unknown' AS rid, doc, rule_pack FROM rules) k ON k.rid = f.rule_id"
+
+
+def _docs(spark):
+    """Titles of the cited documents; the second pack is left out so that the fallback shows."""
+    return read_packs(spark).filter("jurisdiction = 'GMADA'").select(F.col("pack_doc_id").alias("doc_id"), F.col("pack_title").alias("title")).distinct()
+
+
+@query("F01_issue_counts", with_findings("SELECT model_id, count(*) FILTER (WHERE status <> 'pass') AS n_issues, 'pre-submission check: ' || count(*) FILTER (WHERE status <> 'pass') || ' issues found' AS summary FROM findings GROUP BY 1"))
+def f01(spark, sf_dir):
+    return r.issue_counts(all_findings(spark, sf_dir))
+
+
+@query("F02_pfr_counts", with_findings("SELECT model_id, count(*) FILTER (WHERE status = 'pass') AS passed, count(*) FILTER (WHERE status = 'violation') AS flagged, count(*) FILTER (WHERE status NOT IN ('pass','violation')) AS review, count(*) AS total FROM findings GROUP BY 1"))
+def f02(spark, sf_dir):
+    return r.pfr_counts(all_findings(spark, sf_dir))
+
+
+@query("F03_status_histogram", with_findings("SELECT model_id, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS n_{s}" for s in ("violation", "ambiguity", "unknown", "advisory", "pass")) + " FROM findings GROUP BY 1"))
+def f03(spark, sf_dir):
+    return r.status_histogram(all_findings(spark, sf_dir))
+
+
+@query("F03_status_rollup", with_findings("SELECT authority, rule_pack, status, CAST(count(*) AS BIGINT) AS n FROM findings JOIN plots USING (model_id) GROUP BY ROLLUP (authority, rule_pack, status)"))
+def f03r(spark, sf_dir):
+    return r.status_rollup(all_findings(spark, sf_dir), d.plots(spark, sf_dir))
+
+
+@query("C04_with_titles", with_findings(f"SELECT model_id, rule_id, finding_seq, CASE WHEN doc LIKE 'puda%' THEN 'Punjab Urban Planning and Development Authority (Building) Rules, 1996' ELSE doc END AS doc_title FROM ({_CITE})"))
+def c04(spark, sf_dir):
+    return r.with_titles(all_findings(spark, sf_dir), _docs(spark)).select("model_id", "rule_id", "finding_seq", "doc_title")
+
+
+@query("F04_bylaws_checked", with_findings(f"""
+SELECT model_id, doc AS doc_id, string_agg(DISTINCT clause, '|' ORDER BY clause) AS clauses, count(*) AS n_findings, arg_min(version, finding_seq) AS version,
+  concat_ws(', ', CASE WHEN count(*) FILTER (WHERE cite_status = 'not_stated') > 0 THEN 'not_stated: ' || count(*) FILTER (WHERE cite_status = 'not_stated') END,
+    CASE WHEN count(*) FILTER (WHERE cite_status = 'seed_unverified') > 0 THEN 'seed_unverified: ' || count(*) FILTER (WHERE cite_status = 'seed_unverified') END,
+    CASE WHEN count(*) FILTER (WHERE cite_status = 'verified') > 0 THEN 'verified: ' || count(*) FILTER (WHERE cite_status = 'verified') END) AS verification,
+  CASE WHEN doc LIKE 'puda%' THEN 'Punjab Urban Planning and Development Authority (Building) Rules, 1996' ELSE doc END AS doc_title
+FROM ({_CITE}) GROUP BY model_id, doc"""))
+def f04(spark, sf_dir):
+    x = r.bylaws_checked(all_findings(spark, sf_dir), _docs(spark))
+    return x.withColumn("clauses", F.array_join("clauses", "|")).withColumn(
+        "verification", F.expr("array_join(transform(array_sort(map_entries(verification)), e -> concat(e.key, ': ', e.value)), ', ')")
+    )
+
+
+_GROUPS = """SELECT model_id, rule_id, min(finding_seq) AS first_seq, count(*) AS n_findings, count(DISTINCT (title, observed_num, required_num)) AS n_instances,
+  CASE WHEN count(DISTINCT title) > 1 THEN rtrim(regexp_replace(arg_min(title, finding_seq), '\\s*\\([^()]*\\)\\s*$', '')) ELSE arg_min(title, finding_seq) END AS heading,
+  arg_min(severity, finding_seq) AS severity, arg_min(status, finding_seq) AS status
+FROM findings WHERE status <> 'pass' GROUP BY 1, 2"""
+
+
+@query("F06_issue_groups", with_findings(_GROUPS))
+def f06(spark, sf_dir):
+    return r.issue_groups(all_findings(spark, sf_dir))
+
+
+@query("H01_order_groups", with_findings(f"SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY {_SEV}, {_STA}, first_seq) AS position FROM ({_GROUPS})"))
+def h01(spark, sf_dir):
+    return r.order_groups(r.issue_groups(all_findings(spark, sf_dir)))
+
+
+@query("F05_severity_summary", with_findings(f"SELECT model_id, severity, count(*) AS n_groups, string_agg(heading, '|' ORDER BY {_STA}, first_seq) AS headings FROM ({_GROUPS}) GROUP BY 1, 2"))
+def f05(spark, sf_dir):
+    return r.severity_summary(all_findings(spark, sf_dir)).withColumn("headings", F.array_join("headings", "|"))
+
+
+@query("H02_order_findings", with_findings(f"SELECT model_id, finding_seq, rule_id, {_STA} AS status_rank FROM findings"))
+def h02(spark, sf_dir):
+    return r.order_findings(all_findings(spark, sf_dir)).select("model_id", "finding_seq", "rule_id", "status_rank")
+
+
+@query("G12_distinct_remedies", with_findings("""
+SELECT f.model_id, f.rule_id, 'Possible remedy for ' || f.rule_id || '; not re-checked.' AS description, any_value(r.rem_kinds[1]) AS kind, min(f.finding_seq) AS first_seq
+FROM findings f JOIN rules r USING (rule_id) WHERE f.status <> 'pass' AND f.n_remedies > 0 AND r.kind <> 'far_band_gap' AND NOT (r.kind = 'containment' AND f.status = 'unknown') GROUP BY 1, 2
+UNION ALL SELECT f.model_id, f.rule_id, 'The amended text states no cap for this band and the earlier cap is superseded; cite both clauses.', 'zoning_revision_request', min(f.finding_seq) FROM findings f JOIN rules r USING (rule_id) WHERE r.kind = 'far_band_gap' GROUP BY 1, 2
+UNION ALL SELECT f.model_id, f.rule_id, 'No zoning plan is traced for this plot, so containment stays undecided.', 'zoning_revision_request', min(f.finding_seq) FROM findings f JOIN rules r USING (rule_id) WHERE r.kind = 'containment' AND f.status = 'unknown' AND f.n_remedies > 0 GROUP BY 1, 2
+UNION ALL SELECT model_id, rule_id, 'Settle which authority governs the plot; no rule of this pack was evaluated.', 'zoning_revision_request', finding_seq FROM findings WHERE rule_id LIKE '%.jurisdiction.unknown'"""))
+def g12(spark, sf_dir):
+    return r.distinct_remedies(all_findings(spark, sf_dir))
+
+
+@query("F17_far_readings", with_model("""
+SELECT p.model_id, coalesce(plot_area_sqm, 0) AS plot, e AS covered_excl, i AS covered_incl, n_upper, CASE WHEN plot_area_sqm IS NOT NULL THEN e / plot_area_sqm ELSE 0 END AS far_excl, CASE WHEN plot_area_sqm IS NOT NULL THEN i / plot_area_sqm ELSE 0 END AS far_incl,
+  greatest(0, CASE WHEN plot_area_sqm IS NOT NULL THEN e / plot_area_sqm ELSE 0 END - 1.0::DOUBLE) * coalesce(plot_area_sqm, 0) AS excess_excl, greatest(0, CASE WHEN plot_area_sqm IS NOT NULL THEN i / plot_area_sqm ELSE 0 END - 1.0::DOUBLE) * coalesce(plot_area_sqm, 0) AS excess_incl
+FROM plots p JOIN (SELECT model_id, coalesce(sum(area) FILTER (WHERE NOT (level = 0 AND model_id % 6 = 0)), 0) AS e, sum(area) AS i, count(*) FILTER (WHERE NOT (level = 0 AND model_id % 6 = 0)) AS n_upper FROM floors GROUP BY 1) a USING (model_id)"""))
+def f17(spark, sf_dir):
+    return r.far_readings(d.plots(spark, sf_dir), d.floors(spark, sf_dir))
+
+
+@query("F18_pack_registry", with_model("SELECT rule_pack, jurisdiction, n_rules, n_enforced, count(*) AS n_plots FROM plots JOIN (SELECT rule_pack, jurisdiction, count(*) AS n_rules, count(*) FILTER (WHERE enforced) AS n_enforced FROM rules GROUP BY ALL) USING (rule_pack) GROUP BY ALL"))
+def f18(spark, sf_dir):
+    n = d.plots(spark, sf_dir).groupBy("rule_pack").agg(F.count("*").alias("n_plots"))
+    return r.pack_registry(read_packs(spark)).join(n, "rule_pack")
+
+
+@query("J01_sqm_to_sqyd", with_model("SELECT model_id, round_even(plot_area_sqm * 1.196::DOUBLE, 2) AS sqyd FROM plots"))
+def j01(spark, sf_dir):
+    return d.plots(spark, sf_dir).select("model_id", r.sqm_to_sqyd("plot_area_sqm").alias("sqyd"))
+
+
+@query("J17_group_heading", "WITH f AS (" + findings_sql(["setback_formula"]) + ") SELECT model_id, rule_id, CASE WHEN count(DISTINCT title) > 1 THEN rtrim(regexp_replace(arg_min(title, finding_seq), '\\s*\\([^()]*\\)\\s*$', '')) ELSE arg_min(title, finding_seq) END AS heading FROM f GROUP BY 1, 2")
+def j17(spark, sf_dir):
+    f = c.check(c.build_facts(d.model_tables(spark, sf_dir)), read_packs(spark), "setback_formula")
+    return r.issue_groups(f, issues_only=False).select("model_id", "rule_id", "heading")
+
+
+@query("A14_overlay", with_findings("""
+SELECT model_id, 0::BIGINT AS feature_seq, 'plot_outline' AS kind, 'Polygon' AS geometry_type, '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0.0,0.0],[' || w || ',0.0],[' || w || ',' || l || '],[0.0,' || l || '],[0.0,0.0]]]},"properties":{"kind":"plot_outline"}}' AS context FROM plots
+UNION ALL SELECT model_id, 1, 'zoned_area', 'Polygon', '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[1.5,3.0],[' || (w-1.5::DOUBLE) || ',3.0],[' || (w-1.5::DOUBLE) || ',' || (l-3.0::DOUBLE) || '],[1.5,' || (l-3.0::DOUBLE) || '],[1.5,3.0]]]},"properties":{"kind":"zoned_area"}}' FROM plots WHERE has_zone
+UNION ALL SELECT model_id, 2 + floor_pos, 'floor_footprint', 'Polygon', '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]},"properties":{"kind":"floor_footprint","level":' || level || ',"is_stilt":' || is_stilt || '}}' FROM floors
+UNION ALL SELECT f.model_id, f.finding_seq + 1099511627776, 'finding', CASE WHEN has_geometry THEN CASE WHEN r.kind = 'setback_formula' THEN 'LineString' ELSE 'Polygon' END END, NULL FROM findings f LEFT JOIN rules r USING (rule_id)"""))
+def a14(spark, sf_dir):
+    t = d.model_tables(spark, sf_dir)
+    x = r.overlay_features(t["plots"], t["floors"], all_findings(spark, sf_dir))
+    return x.selectExpr("model_id", "feature_seq", "kind", "geometry_type", "case when kind <> 'finding' then feature end as context")
+
+
+@query("A14_overlay_colours", with_findings("SELECT CASE status WHEN 'violation' THEN '#d92d20' WHEN 'ambiguity' THEN '#f79009' WHEN 'advisory' THEN '#2970ff' WHEN 'pass' THEN '#12b76a' ELSE '#667085' END AS color, n_remedies AS remedy_count, count(*) AS n FROM findings GROUP BY ALL"))
+def a14c(spark, sf_dir):
+    t = d.model_tables(spark, sf_dir)
+    x = r.overlay_features(t["plots"], t["floors"], all_findings(spark, sf_dir)).filter("kind = 'finding'")
+    y = x.selectExpr("get_json_object(feature, '$.properties.color') as color", "cast(get_json_object(feature, '$.properties.remedy_count') as int) as remedy_count")
+    return y.groupBy("color", "remedy_count").agg(F.count("*").alias("n"))
+
+
+@query("B09_banned_language", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 IN (0, 4)")
+def b09(spark, sf_dir):
+    o = d.load(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "case o_orderkey % 10 when 0 then concat('plan APPROVED ', o_orderstatus) when 4 then 'fully Compliant' when 5 then 'certificate of compliance' else o_orderpriority end as note",
+    )
+    return c.banned_language(o, "note").select("o_orderkey")
+
+
+@query("B10_assert_cited", with_findings("SELECT rule_id, count(*) AS n_findings, 0::BIGINT AS n_uncited FROM findings GROUP BY 1"))
+def b10(spark, sf_dir):
+    f = all_findings(spark, sf_dir)
+    return f.groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.count_if(F.col("citation.doc").isNull() | F.col("citation.clause").isNull()).alias("n_uncited"))

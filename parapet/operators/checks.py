@@ -93,6 +93,7 @@ def _lookup_rules(rules: DataFrame) -> DataFrame:
         F.col("rule_pack").alias("_pack"),
         F.col("authority").alias("_authority"),
         "rule_id", "rule_pos", "kind", "rule_status", "area_lo", "area_hi", "r",
+        *[c for c in ("role_pos", "role") if c in rules.columns],
     )
 
 
@@ -231,28 +232,21 @@ def build_facts(tables: dict[str, DataFrame], keys=("model_id",), exclude_baseme
 
 # ---------------------------------------------------------------- finding construction (SQL text)
 
-def make(status, amb="null", obs="null", obs_txt="null", req="null", req_txt="null", geom="null", comp="false", rem=NO_REMEDIES, item="0", suffix="''") -> str:
-    """The check-specific part of a finding, as a struct expression."""
+def make(status, amb="null", obs="null", obs_txt="null", req="null", req_txt="null", geom="null", comp="false", lost="null", rem=("null", "null"), item="0", suffix="''") -> str:
+    """The check-specific part of a finding, as a struct expression. ``rem`` is a one-off remedy
+    (kind, text); a violation otherwise gets the rule's own remedies in :func:`finish`."""
     return (
         f"named_struct('item', cast({item} as bigint), 'suffix', cast({suffix} as string), 'status', cast({status} as string),"
         f" 'amb', cast({amb} as string), 'obs', cast({obs} as double), 'obs_txt', cast({obs_txt} as string),"
         f" 'req', cast({req} as double), 'req_txt', cast({req_txt} as string), 'geom', cast({geom} as {g.RING}),"
-        f" 'comp', cast({comp} as boolean), 'rem', {rem})"
+        f" 'comp', cast({comp} as boolean), 'lost', cast({lost} as double), 'rem_kind', cast({rem[0]} as string),"
+        f" 'rem_text', cast({rem[1]} as string))"
     )
 
 
-def graded(ok: str, obs="null", req="null", geom="null", area_lost=None, comp="coalesce(r.compoundable, false)", **kw) -> str:
-    """pass / violation; highlight and remedies only on violation."""
-    rem = rule_remedies(area_lost) if area_lost else rule_remedies()
-    return make(
-        f"case when {ok} then 'pass' when not ({ok}) then 'violation' end",
-        obs=obs,
-        req=req,
-        geom=f"case when not ({ok}) then {geom} end",
-        comp=comp,
-        rem=f"case when not ({ok}) then {rem} else {NO_REMEDIES} end",
-        **kw,
-    )
+def graded(ok: str, obs="null", req="null", comp="r.compoundable", **kw) -> str:
+    """pass / violation; an undecided condition stays NULL and is never a pass."""
+    return make(f"case ({ok}) when true then 'pass' when false then 'violation' end", obs=obs, req=req, comp=comp, **kw)
 
 
 def _floor_suffix(level: str = "level") -> str:
@@ -260,26 +254,33 @@ def _floor_suffix(level: str = "level") -> str:
 
 
 def finish(df: DataFrame, keys) -> DataFrame:
-    """Rows with struct ``o`` (from :func:`make`) -> findings schema, softened."""
+    """Rows with the columns of :func:`make` -> findings schema: highlight only what is not a pass,
+    remedies only on a violation, then one-sided softening (B7)."""
     df = df.withColumn(
-        "_soft", (F.col("o.status") == "violation") & F.col("any_upper") & is_footprint_dependent(F.col("rule_id"))
+        "_soft", (F.col("status") == "violation") & F.col("any_upper") & is_footprint_dependent(F.col("rule_id"))
+    )
+    one_off = (
+        "array(named_struct('kind', rem_kind, 'description', rem_text, 'area_lost_sqm', cast(null as double), 'verified', false))"
+    )
+    remedies = (
+        f"case when rem_kind is not null then {one_off} when status = 'violation' then {rule_remedies('lost')} else {NO_REMEDIES} end"
     )
     return df.select(
         *keys,
-        F.expr(f"cast(rule_pos as bigint) * {ITEM_SPAN} + o.item").alias("finding_seq"),
+        F.expr(f"cast(rule_pos as bigint) * {ITEM_SPAN} + item").alias("finding_seq"),
         "rule_id",
-        F.expr("case when _soft then 'ambiguity' else o.status end").alias("status"),
+        F.expr("case when _soft then 'ambiguity' else status end").alias("status"),
         F.col("r.severity").alias("severity"),
-        F.expr(f"concat(r.title, o.suffix, case when _soft then '{SOFT_SUFFIX}' else '' end)").alias("title"),
+        F.expr(f"concat(r.title, suffix, case when _soft then '{SOFT_SUFFIX}' else '' end)").alias("title"),
         _citation().alias("citation"),
-        F.col("o.obs").alias("observed_num"),
-        F.col("o.obs_txt").alias("observed_txt"),
-        F.col("o.req").alias("required_num"),
-        F.col("o.req_txt").alias("required_txt"),
-        F.col("o.geom").alias("geometry_ref"),
-        F.col("o.comp").alias("compoundable"),
-        F.expr("case when _soft then 'extraction' else o.amb end").alias("ambiguity_class"),
-        F.col("o.rem").alias("remedies"),
+        F.col("obs").alias("observed_num"),
+        F.col("obs_txt").alias("observed_txt"),
+        F.col("req").alias("required_num"),
+        F.col("req_txt").alias("required_txt"),
+        F.expr("case when status <> 'pass' then geom end").alias("geometry_ref"),
+        F.expr("coalesce(comp, false)").alias("compoundable"),
+        F.expr("case when _soft then 'extraction' else amb end").alias("ambiguity_class"),
+        F.expr(remedies).alias("remedies"),
         "rule_pack",
     )
 
@@ -314,11 +315,11 @@ def slab_cap(area: str, table: str) -> str:
 def _containment() -> str:
     missing = make(
         "'unknown'", "'missing_input'", req_txt="'a traced zoned area'", geom="plot_polygon",
-        rem=one_remedy("zoning_revision_request", "No zoning plan is traced for this plot, so containment stays undecided."),
+        rem=("'zoning_revision_request'", "'No zoning plan is traced for this plot, so containment stays undecided.'"),
     )
     return (
-        f"case when zoned_area is null then array({missing}) when not {g.ring_ok('zoned_area')} then"
-        f" array({make(_UNK, _EXT)}) when n_usable = 0 then array({make(_UNK, _MISS)}) end"
+        f"case when zoned_area is null then {missing} when not {g.ring_ok('zoned_area')} then"
+        f" {make(_UNK, _EXT)} when n_usable = 0 then {make(_UNK, _MISS)} end"
     )
 
 
@@ -326,11 +327,11 @@ _UNK, _EXT, _MISS, _PASS = "'unknown'", "'extraction'", "'missing_input'", "'pas
 
 
 def _site_coverage() -> str:
-    cap = slab_cap("plot_area_sqm", "r.table")
-    good = graded(f"ground.area <= {cap} + {EPS}", "ground.area", cap, "ground.footprint", area_lost=f"ground.area - {cap}")
+    cap = "cap"  # computed once per pair in model_level
+    good = graded(f"ground.area <= {cap} + {EPS}", "ground.area", cap, geom="ground.footprint", lost=f"case when ground.area > {cap} + {EPS} then ground.area - {cap} end")
     return (
-        f"array(case when plot_area_sqm is null then {make(_UNK, _MISS)} when ground.area is null then"
-        f" {make(_UNK, _EXT)} else {good} end)"
+        f"case when plot_area_sqm is null then {make(_UNK, _MISS)} when ground.area is null then"
+        f" {make(_UNK, _EXT)} else {good} end"
     )
 
 
@@ -339,17 +340,17 @@ _FAR = "(covered_excl / plot_area_sqm)"
 
 def _far_band() -> str:
     note = "case when has_stilt then ' (stilt storey left out of the ratio)' else '' end"
-    good = graded(f"{_FAR} <= r.max_far + {EPS}", _FAR, "r.max_far", "plot_polygon", suffix=note)
-    return f"array(case when plot_area_sqm is null then {make(_UNK, _MISS)} else {good} end)"
+    good = graded(f"{_FAR} <= r.max_far + {EPS}", _FAR, "r.max_far", geom="plot_polygon", suffix=note)
+    return f"case when plot_area_sqm is null then {make(_UNK, _MISS)} else {good} end"
 
 
 def _far_band_gap() -> str:
     found = make(
         "'ambiguity'", "'instrument_conflict'", obs=_FAR, obs_txt="concat('superseded cap ', r.superseded_value)",
         geom="plot_polygon",
-        rem=one_remedy("zoning_revision_request", "The amended text states no cap for this band and the earlier cap is superseded; cite both clauses."),
+        rem=("'zoning_revision_request'", "'The amended text states no cap for this band and the earlier cap is superseded; cite both clauses.'"),
     )
-    return f"case when plot_area_sqm >= coalesce(area_lo, 0D) then array({found}) end"
+    return f"case when plot_area_sqm >= coalesce(area_lo, 0D) then {found} end"
 
 
 def _stilt_far() -> str:
@@ -357,44 +358,42 @@ def _stilt_far() -> str:
     incl = "(covered_incl / plot_area_sqm)"
     text = f"concat('ratio without stilt ', format_number({_FAR}, 3), '; with stilt ', format_number({incl}, 3))"
     found = make("'ambiguity'", "'definitional'", obs=_FAR, obs_txt=text, req=incl)
-    return f"case when has_stilt and plot_area_sqm is not null then array({found}) end"
+    return f"case when has_stilt and plot_area_sqm is not null then {found} end"
 
 
-def _setback() -> str:
-    need = "greatest(height * r.fraction_of_height, r.min_m)"
+def _by_role(expr: str) -> str:
+    arms = " ".join(f"when '{r}' then {expr.format(r)}" for r in ROLES)
+    return f"(case role {arms} end)"
 
-    def one(i, role):
-        obs, kw = f"setback_{role}", dict(item=str(i), suffix=f"' ({role})'")
-        good = graded(f"{obs} >= {need} - {EPS}", obs, need, f"edge_{role}.line", **kw)
-        return f"case when {obs} is null or height is null then {make(_UNK, _EXT, **kw)} else {good} end"
 
-    return (
-        f"case when contains(rule_id, 'front_rear') then array({one(0, 'front')}, {one(1, 'rear')})"
-        f" else array({one(0, 'side_a')}, {one(1, 'side_b')}) end"
-    )
+def _setback() -> str:
+    need, obs = "greatest(height * r.fraction_of_height, r.min_m)", _by_role("setback_{}")
+    kw = dict(item="role_pos", suffix="concat(' (', role, ')')")
+    good = graded(f"{obs} >= {need} - {EPS}", obs, need, geom=_by_role("edge_{}.line"), **kw)
+    return f"case when {obs} is null or height is null then {make(_UNK, _EXT, **kw)} else {good} end"
 
 
 def _height_vs_road() -> str:
     allowed = "(edge_front.road_width_m + setback_front)"
-    good = graded(f"height <= {allowed} + {EPS}", "height", allowed, "plot_polygon")
-    return f"array(case when {allowed} is null or height is null then {make(_UNK, _MISS)} else {good} end)"
+    good = graded(f"height <= {allowed} + {EPS}", "height", allowed, geom="plot_polygon")
+    return f"case when {allowed} is null or height is null then {make(_UNK, _MISS)} else {good} end"
 
 
 def _no_items(count: str, limit: str, what: str) -> str:
-    return f"case when {count} = 0 then array({make(_PASS, obs_txt=f'{chr(39)}no {what} in the model{chr(39)}', req=f'r.{limit}')}) end"
+    return f"case when {count} = 0 then {make(_PASS, obs_txt=f'{chr(39)}no {what} in the model{chr(39)}', req=f'r.{limit}')} end"
 
 
 def _projection_width() -> str:
     empty = make(_PASS, obs_txt="'no usable projections'")
     return (
-        f"case when n_proj = 0 then array({make(_PASS)}) when site_width is null then array({make(_UNK, _EXT)})"
-        f" when n_proj_ok = 0 then array({empty}) end"
+        f"case when n_proj = 0 then {make(_PASS)} when site_width is null then {make(_UNK, _EXT)}"
+        f" when n_proj_ok = 0 then {empty} end"
     )
 
 
 def _room_height() -> str:
     none = make(_PASS, obs_txt="'no rooms of the listed uses'", req="r.min_m")
-    return f"case when not arrays_overlap(uses, r.room_uses) then array({none}) end"
+    return f"case when not arrays_overlap(uses, r.room_uses) then {none} end"
 
 
 _HABITABLE = "array(" + ", ".join(f"'{u}'" for u in HABITABLE_USES) + ")"
@@ -402,19 +401,19 @@ _HABITABLE = "array(" + ", ".join(f"'{u}'" for u in HABITABLE_USES) + ")"
 
 def _light() -> str:
     none = make(_PASS, obs_txt="'no habitable rooms in the model'", req="r.min_ratio")
-    return f"case when not arrays_overlap(uses, {_HABITABLE}) then array({none}) end"
+    return f"case when not arrays_overlap(uses, {_HABITABLE}) then {none} end"
 
 
 def _stairs() -> str:
-    return f"case when not array_contains(uses, 'stair') then array({make(_UNK, _EXT, req='r.min_m')}) end"
+    return f"case when not array_contains(uses, 'stair') then {make(_UNK, _EXT, req='r.min_m')} end"
 
 
 def _basement_height() -> str:
     h, lim = "basement.height_m", "r.min_m"
     none = make(_PASS, obs_txt="'no basement in the model'", req=lim)
     return (
-        f"array(case when basement is null then {none} when {h} is null then {make(_UNK, _EXT, req=lim)}"
-        f" else {graded(f'{h} >= {lim} - {EPS}', h, lim, 'basement.footprint')} end)"
+        f"case when basement is null then {none} when {h} is null then {make(_UNK, _EXT, req=lim)}"
+        f" else {graded(f'{h} >= {lim} - {EPS}', h, lim, geom='basement.footprint')} end"
     )
 
 
@@ -422,9 +421,9 @@ def _basement_area() -> str:
     ba, ga = "basement.area", "ground.area"
     none = make(_PASS, obs_txt="'no basement in the model'")
     return (
-        f"case when contains(rule_id, 'basement') then array(case when basement is null then {none}"
+        f"case when contains(rule_id, 'basement') then case when basement is null then {none}"
         f" when {ba} is null or {ga} is null then {make(_UNK, _EXT)}"
-        f" else {graded(f'{ba} <= {ga} + {EPS}', ba, ga, 'basement.footprint')} end) end"
+        f" else {graded(f'{ba} <= {ga} + {EPS}', ba, ga, geom='basement.footprint')} end end"
     )
 
 
@@ -434,12 +433,12 @@ def _roof_recede() -> str:
     none = make(_PASS, obs_txt="'no roof structure in the model'")
     exempt = make(_PASS, obs=h, req_txt=f"concat('exempt up to ', {limit}, ' m')")
     return (
-        f"array(case when mumty is null then {none} when {h} is null or {s} is null then {make(_UNK, _EXT)}"
-        f" when {h} <= {limit} then {exempt} else {graded(f'{s} >= {need} - {EPS}', s, need)} end)"
+        f"case when mumty is null then {none} when {h} is null or {s} is null then {make(_UNK, _EXT)}"
+        f" when {h} <= {limit} then {exempt} else {graded(f'{s} >= {need} - {EPS}', s, need)} end"
     )
 
 
-# kind -> array of findings decided from the facts row alone (NULL: none)
+# kind -> finding decided from the facts row alone (NULL: none)
 MODEL_LEVEL = {
     "containment": _containment,
     "site_coverage_slab": _site_coverage,
@@ -470,11 +469,28 @@ def _known(header: DataFrame) -> DataFrame:
     return header.filter(F.col("authority") != "UNKNOWN")
 
 
+def _decide(x: DataFrame, o: str, keys) -> DataFrame:
+    x = x.select(*[c for c in x.columns if c not in ("item", "status")], F.expr(o).alias("o")).filter("o is not null")
+    return finish(x.select("*", "o.*"), keys)
+
+
+def _with_roles(rules: DataFrame) -> DataFrame:
+    """Setback rules become one row per edge role, on the small side of the join."""
+    roles = (
+        "case when kind <> 'setback_formula' then array(cast(null as string))"
+        " when contains(rule_id, 'front_rear') then array('front', 'rear') else array('side_a', 'side_b') end"
+    )
+    return rules.select("*", F.expr(f"posexplode({roles})").alias("role_pos", "role"))
+
+
 def model_level(facts: Facts, rules: DataFrame, kinds=KINDS) -> DataFrame:
     """Findings that need only the facts row: one broadcast join, one pass, no shuffle."""
-    pairs = applicable(_known(facts.header), _live(rules, kinds))
+    pairs = applicable(_known(facts.header), _with_roles(_live(rules, kinds)))
+    if "site_coverage_slab" in kinds:
+        cap = f"case when kind = 'site_coverage_slab' then {slab_cap('plot_area_sqm', 'r.table')} end"
+        pairs = pairs.withColumn("cap", F.expr(cap))
     arms = " ".join(f"when '{kind}' then {MODEL_LEVEL[kind]()}" for kind in kinds)
-    return finish(pairs.withColumn("o", F.explode(F.expr(f"case kind {arms} end"))), facts.keys)
+    return _decide(pairs, f"case kind {arms} end", facts.keys)
 
 
 # ---------------------------------------------------------------- per-item decisions
@@ -488,10 +504,6 @@ def _items(facts: Facts, items: DataFrame, rules: DataFrame, kinds, extra=()) ->
     return applicable(items.join(head, on), _live(rules, kinds))
 
 
-def _decide(x: DataFrame, o: str, keys) -> DataFrame:
-    return finish(x.withColumn("o", F.expr(o)).filter("o is not null"), keys)
-
-
 def floor_level(facts: Facts, rules: DataFrame) -> DataFrame:
     fl = facts.floors.select(*facts.keys, "floor_pos", "level", "footprint", "b").filter("b is not null")
     x = _items(facts, fl, rules, ["containment"], ["zoned_area"])
@@ -515,12 +527,12 @@ def projection_level(facts: Facts, rules: DataFrame, kinds=("projection_max", "p
     d, lim = "short_side", "r.max_m"
     by_depth = (
         f"case when {d} is null then {make(_UNK, _EXT, req=lim, item='pos')}"
-        f" else {graded(f'{d} <= {lim} + {EPS}', d, lim, 'polygon', item='pos')} end"
+        f" else {graded(f'{d} <= {lim} + {EPS}', d, lim, geom='polygon', item='pos')} end"
     )
     side, allowed = f"greatest({g.width('b')}, {g.depth('b')})", "(r.fraction * site_width)"
     by_width = (
         f"case when b is not null and site_width is not null then"
-        f" {graded(f'{side} <= {allowed} + {EPS}', side, allowed, 'polygon', item='pos')} end"
+        f" {graded(f'{side} <= {allowed} + {EPS}', side, allowed, geom='polygon', item='pos')} end"
     )
     return _decide(x, f"case kind when 'projection_max' then {by_depth} else {by_width} end", facts.keys)
 
@@ -529,7 +541,7 @@ def courtyard_level(facts: Facts, rules: DataFrame, kinds=("courtyard_min_area",
     x = _items(facts, facts.courtyards, rules, kinds)
 
     def at_least(col, lim):
-        return f"case when {col} is not null then {graded(f'{col} >= {lim} - {EPS}', col, lim, 'ring', item='pos')} end"
+        return f"case when {col} is not null then {graded(f'{col} >= {lim} - {EPS}', col, lim, geom='ring', item='pos')} end"
 
     o = f"case kind when 'courtyard_min_area' then {at_least('area', 'r.min_sqm')} else {at_least('short_side', 'r.min_m')} end"
     return _decide(x, o, facts.keys)
@@ -562,7 +574,7 @@ def room_height_level(facts: Facts, rules: DataFrame) -> DataFrame:
     kw = dict(item=_ROOM_ITEM.format("first."), suffix=_floor_suffix())
     o = (
         f"case when height_m is null then {make(_UNK, _EXT, req='r.min_m', **kw)}"
-        f" else {graded(f'height_m >= r.min_m - {EPS}', 'height_m', 'r.min_m', 'first.polygon', **kw)} end"
+        f" else {graded(f'height_m >= r.min_m - {EPS}', 'height_m', 'r.min_m', geom='first.polygon', **kw)} end"
     )
     return _decide(x, o, facts.keys)
 
@@ -578,12 +590,12 @@ def room_level(facts: Facts, rules: DataFrame, kinds=("light_ventilation_ratio",
     # An opening area of zero cannot be told from "not measured", so it is unknown.
     light = (
         f"case when area is null or area = 0 or openings_area_sqm <= 0 then {make(_UNK, _EXT, req=lim, geom='polygon', item=item)}"
-        f" else {graded(f'{ratio} >= {lim} - {EPS}', ratio, lim, 'polygon', item=item, suffix=sfx)} end"
+        f" else {graded(f'{ratio} >= {lim} - {EPS}', ratio, lim, geom='polygon', item=item, suffix=sfx)} end"
     )
     w, wl = "short_side", "r.min_m"
     stair = (
         f"case when {w} is null then {make(_UNK, _EXT, req=wl, geom='polygon', item=item)}"
-        f" else {graded(f'{w} >= {wl} - {EPS}', w, wl, 'polygon', item=item)} end"
+        f" else {graded(f'{w} >= {wl} - {EPS}', w, wl, geom='polygon', item=item)} end"
     )
     o = (
         f"case when kind = 'light_ventilation_ratio' and array_contains({_HABITABLE}, use) then {light}"
@@ -616,8 +628,7 @@ def conflict_findings(plots: DataFrame, rules: DataFrame, keys=("model_id",)) ->
     """B2: rules in conflict give one unknown per model of the pack, before any band filter."""
     r = _lookup_rules(enforced(rules).filter("rule_status = 'conflict'")).drop("_authority")
     x = plots.filter("authority <> 'UNKNOWN'").join(r, F.col("rule_pack") == F.col("_pack"))
-    x = x.withColumn("o", F.expr(make("'unknown'", "'instrument_conflict'"))).withColumn("any_upper", F.lit(False))
-    return finish(x, list(keys))
+    return _decide(x.withColumn("any_upper", F.lit(False)), make("'unknown'", "'instrument_conflict'"), list(keys))
 
 
 def unknown_authority(plots: DataFrame, rules: DataFrame, keys=("model_id",)) -> DataFrame:
