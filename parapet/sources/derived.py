@@ -206,3 +206,90 @@ def entered_plot_sizes(plots_df: DataFrame) -> DataFrame:
 
 def elevation_widths(plots_df: DataFrame) -> DataFrame:
     return plots_df.selectExpr("model_id", "case when model_id % 13 <> 0 then cast(4 + seed % 12 as double) end as elevation_width_m")
+
+
+# ---------------------------------------------------------------- drawing sheets
+
+# Sheet titles used by the derived tables, by page number.
+SHEET_TITLES = (
+    "GROUND FLOOR PLAN", "FIRST FLOOR PLAN", "FRONT ELEVATION", "SITE PLAN",
+    "BASEMENT PLAN", "STILT FLOOR", "SECTION A-A", "JOINERY DETAIL",
+)
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One uploaded sheet per page: ``case_id, upload_pos, file, kind, layout, title, text``."""
+    titles = "array(" + ", ".join(f"'{t}'" for t in SHEET_TITLES) + ")"
+    text = (
+        "concat('S.C.O. 63, Phase-2\\n', case when title is null then '' else concat('TITLE :- ', title, '\\n') end,"
+        " 'DATE :-\\nDRAWN BY :-  AB \\n', case when page_id % 11 <> 0 then concat('Plot No.', page_id, ', ') else '' end,"
+        " case when page_id % 7 <> 0 then concat('phase -', page_id % 9, ',') else '' end, '\\n',"
+        " case when page_id % 13 = 0 and page_id % 2 = 0 then 'REAR ELEVATION' else 'NOTES' end)"
+    )
+    return (
+        load(spark, sf_dir, "pages")
+        .selectExpr(
+            "page_id",
+            "page_id div 5 as case_id",
+            "cast(page_id % 5 as int) as upload_pos",
+            f"case when page_id % 13 <> 0 then {titles}[cast(page_id % 8 as int)] end as title",
+            "case when page_id % 3 = 2 then 'dxf' else 'pdf' end as kind",
+            "case when page_id % 6 = 5 then 'ELEVATION-FRONT' end as layout",
+        )
+        .withColumn("file", F.expr("concat('first_floor-', page_id, '.', kind)"))
+        .withColumn("text", F.expr(text))
+    )
+
+
+def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimension text on sheets, fifty events per sheet."""
+    foot, inch = "char(39)", "char(34)"
+    return load(spark, sf_dir, "events").selectExpr(
+        "event_id div 50 as sheet",
+        "event_id as pos",
+        f"case when event_id % 5 = 4 then concat(user_id % 40, {foot}) else concat(user_id % 40, {foot}, '-', event_id % 14, {inch}) end as text",
+        "floor(value) as x",
+        "cast(event_id % 50 as double) as y",
+        "user_id",
+        "event_id",
+    )
+
+
+# Stroke colours of the derived sheets: two near-red, one near-blue, one grey.
+STROKE_COLOURS = (0xE01020, 0xD01830, 0x2030E0, 0x707478)
+LABEL_COLOURS = (0xE41424, 0x303030, 0xE41424, 0x2434E4)
+
+
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colours = "array(" + ", ".join(map(str, STROKE_COLOURS)) + ")"
+    return load(spark, sf_dir, "events").selectExpr(
+        "event_id div 50 as sheet",
+        f"{colours}[cast(user_id % 4 as int)] as color",
+        "case when event_id % 2 = 0 then 'h' else 'v' end as axis",
+        "floor(value) + 0.25D * cast(event_id % 4 as double) as pos",
+        "cast(event_id % 20 as double) as lo",
+        "cast(event_id % 20 + 1 + user_id % 30 as double) as hi",
+        "event_id",
+    )
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions that name the plot and zoning lines."""
+    colours = "array(" + ", ".join(map(str, LABEL_COLOURS)) + ")"
+    return load(spark, sf_dir, "events").selectExpr(
+        "event_id div 50 as sheet",
+        "case event_id % 7 when 0 then 'PLOT LINE' when 1 then 'Zoning line' else 'ROOM' end as text",
+        f"{colours}[cast(user_id % 4 as int)] as color",
+        "event_id",
+    )
+
+
+def dxf_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked_lines(spark, sf_dir).selectExpr(
+        "l_orderkey as sheet",
+        "0.125D * cast(l_quantity as double) as measurement",
+        "case when l_linenumber % 2 = 1 then 90D else 0D end as angle",
+        "0D as dx",
+        "0D as dy",
+        "cast(rn as double) as y",
+    )
