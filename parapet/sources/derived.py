@@ -293,3 +293,30 @@ def dxf_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "0D as dy",
         "cast(rn as double) as y",
     )
+
+
+def clause_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one-page bylaw texts with clause numbers, bare numbers and PART lines put in."""
+    n = "(1 + (i div 3) % 4) * (case when doc_id % 5 = 0 then 2 else 1 end)"
+    line = (
+        "case when i % 10 = 9 then concat('PART ', repeat('I', cast(1 + (i div 10) % 3 as int)), ' ', ln)"
+        f" when i % 12 = 6 then concat({n}, '.') when i % 3 = 0 then concat({n}, '. ', ln) else ln end"
+    )
+    return load(spark, sf_dir, "documents").selectExpr(
+        "cast(doc_id as string) as doc_id",
+        "0 as page",
+        f"concat(array_join(transform(split(text, '\\n'), (ln, i) -> {line}), '\\n'), case when doc_id % 4 = 0 then ' 65 per cent' else '' end,"
+        " case when doc_id % 6 = 0 then ' may be permitted' else '' end) as text",
+    )
+
+
+TOP_HEADINGS = [("1", "TITLE AND SCOPE"), ("2", "DEFINITIONS"), ("annexure-1", "ANNEXURE 1")]
+
+
+def sectioned_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as short documents with letter-spaced headings, sub-clauses and stray numbers."""
+    lines = (
+        "array('contents', '1 T I T L E   AND SCOPE', p_name, '2. D E F I N I T I O N S', '2.1 First item:', p_type, '2.2', 'Second -',"
+        " '2.55 table row', '9.1 stray', '2.1 again', 'ANNEXURE - 1', p_brand)"
+    )
+    return load(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) as doc_id", f"{lines} as lines")
