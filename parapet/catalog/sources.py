@@ -1 +1,13 @@
-"""Queries."""
+"""Queries for sources that need no files: drawing-primitive tables come straight from parquet."""
+
+from __future__ import annotations
+
+from parapet.catalog.base import query
+from parapet.sources import derived as d
+
+
+@query("A11_primitives", "SELECT sheet, count(*) AS n_dims, max(0.125::DOUBLE * l_quantity) AS longest FROM (SELECT l_orderkey AS sheet, l_quantity FROM lineitem) GROUP BY 1")
+def a11(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return d.dxf_dimensions(spark, sf_dir).groupBy("sheet").agg(F.count("*").alias("n_dims"), F.max("measurement").alias("longest"))
