@@ -266,3 +266,76 @@ def f16(spark, sf_dir):
 @query("N05_evaluate_by_provenance", f"SELECT *, false AS no_real_cases FROM ({_MET})")
 def n05(spark, sf_dir):
     return k.evaluate_by_provenance(_pred(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- chains, scale and assembly
+
+@query("G10_dxf_height", with_model("""
+, v AS (SELECT l_orderkey AS sheet, 0.125::DOUBLE * l_quantity AS m, rn AS y FROM lr WHERE l_linenumber % 2 = 1 AND l_quantity > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY m DESC, y) AS k FROM v),
+t AS (SELECT sheet, max(m) FILTER (WHERE k = 1) AS a, max(m) FILTER (WHERE k = 2) AS b FROM r GROUP BY 1),
+p AS (SELECT r.sheet, a, m, row_number() OVER w AS i, sum(m) OVER w AS s FROM r JOIN t USING (sheet) WHERE k > 1 AND a < 1.5 * b WINDOW w AS (PARTITION BY r.sheet ORDER BY y))
+SELECT sheet, a AS height_m, 1::BIGINT AS n_segments FROM t WHERE b IS NULL OR a >= 1.5 * b
+UNION ALL SELECT e.sheet, e.a, max(e.i - q.i + 1) FROM p e JOIN p q ON q.sheet = e.sheet AND q.i <= e.i AND abs(e.s - (q.s - q.m) - e.a) <= 0.02 GROUP BY 1, 2""".lstrip()))
+def g10(spark, sf_dir):
+    return s.dxf_height(d.dxf_dimensions(spark, sf_dir))
+
+
+@query("K03_dxf_rooms", "SELECT event_id, (['bedroom','wc','kitchen'])[1 + user_id % 5] AS use FROM events WHERE user_id % 5 < 3")
+def k03(spark, sf_dir):
+    x = d.load(spark, sf_dir, "events").selectExpr("event_id", "true as closed", "array('MBR', 'TOIL-2', 'Kit', 'WALL', 'NOTES')[cast(user_id % 5 as int)] as layer")
+    return s.dxf_rooms(x).select("event_id", "use")
+
+
+@query("K12_edge_roles", with_model("SELECT model_id AS sheet, side, CASE WHEN model_id % 3 = 0 THEN CASE side WHEN 'left' THEN 'side_a' WHEN 'right' THEN 'side_b' WHEN 'bottom' THEN CASE WHEN w <= l THEN 'front' ELSE 'rear' END ELSE CASE WHEN w <= l THEN 'rear' ELSE 'front' END END ELSE 'unknown' END AS role FROM plots, (VALUES ('bottom'), ('top'), ('left'), ('right')) t(side)"))
+def k12(spark, sf_dir):
+    x = d.plots(spark, sf_dir).selectExpr("model_id as sheet", "w as bottom", "l as top", "case when model_id % 3 = 0 then 0D else 1D end as left_", "0D as right_")
+    return s.edge_roles(x).select("sheet", "side", "role")
+
+
+@query("K11_built_extent", with_model("SELECT model_id AS sheet, min(abs(l - y1) / 2) AS bottom, min(y0 / 2) AS top, min(x0 / 2) AS left_, min(abs(w - x1) / 2) AS right_ FROM floors JOIN plots USING (model_id) GROUP BY 1"))
+def k11(spark, sf_dir):
+    p = d.plots(spark, sf_dir).selectExpr("model_id as sheet", "0D as x0", "0D as y0", "w as x1", "l as y1", "2D as scale")
+    f = d._floor_rows(spark, sf_dir).selectExpr("model_id as sheet", "x0", "y0", "x1", "y1")
+    return s.built_extent(p, f)
+
+
+@query("K02_build_floors", with_model("SELECT model_id AS case_id, CAST(floor_pos AS VARCHAR) AS role_key, CASE WHEN l_partkey % 4 = 0 THEN 'no usable outline' END AS note FROM floors"))
+def k02(spark, sf_dir):
+    f = d._floor_rows(spark, sf_dir).selectExpr("model_id as case_id", "cast(floor_pos as string) as role_key", "l_partkey", g.rect_ring("x0", "y0", "x1", "y1") + " as footprint")
+    ok, bad = s.build_floors(f.select("case_id", "role_key"), f.filter("l_partkey % 4 <> 0").select("case_id", "role_key", "footprint"))
+    return ok.selectExpr("case_id", "role_key", "cast(null as string) as note").unionByName(bad)
+
+
+@query("K14_reanchor", with_model("SELECT model_id AS case_id, CAST(floor_pos AS VARCHAR) AS role_key, l_partkey % 3 = 0 AS upper_bound, CASE WHEN l_partkey % 3 = 0 THEN x1 + 1 ELSE x1 END AS far_x FROM floors"))
+def k14(spark, sf_dir):
+    f = d._floor_rows(spark, sf_dir).selectExpr("model_id as case_id", "cast(floor_pos as string) as role_key", "l_partkey", g.rect_ring("x0", "y0", "x1", "y1") + " as footprint", g.rect_ring("x0", "y0", "x1 + 1", "y1") + " as hull")
+    out, _ = s.reanchor(f.select("case_id", "role_key", "footprint"), f.filter("l_partkey % 3 = 0").select("case_id", "role_key", "hull"))
+    return out.selectExpr("case_id", "role_key", "footprint_is_upper_bound as upper_bound", "footprint[1].x as far_x")
+
+
+@query("K04_label_rooms", """
+WITH e AS (SELECT event_id // 50 AS sheet, event_id % 50 AS pos, event_id, user_id, floor(value) AS x FROM events),
+t AS (SELECT *, event_id % 3 = 0 AS is_label, CASE WHEN user_id % 2 = 0 THEN 'bedroom' ELSE 'wc' END AS use FROM e)
+SELECT a.sheet, a.pos, a.use, CASE WHEN b.pos IS NOT NULL AND c.pos IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN b.pos IS NOT NULL AND c.pos IS NOT NULL THEN (b.user_id % 20 + 6 / 12::DOUBLE) * 0.3048::DOUBLE WHEN a.use = 'bedroom' THEN 3.5 ELSE 2.0 END AS width_m, a.x / 4.0 AS x_m
+FROM t a LEFT JOIN t b ON b.sheet = a.sheet AND b.pos = a.pos + 1 LEFT JOIN t c ON c.sheet = a.sheet AND c.pos = a.pos + 2 WHERE a.is_label""")
+def k04(spark, sf_dir):
+    x = d.load(spark, sf_dir, "events").selectExpr(
+        "event_id div 50 as sheet", "event_id % 50 as pos", "floor(value) as x", "0D as y",
+        "case when event_id % 3 = 0 then case when user_id % 2 = 0 then 'BED ROOM' else 'TOILET' end else concat(user_id % 20, char(39), '-6', char(34)) end as text",
+    )
+    sc = x.select("sheet").distinct().withColumn("scale", F.lit(4.0))
+    return s.label_rooms(x, sc).select("sheet", "pos", "use", "confidence", "width_m", "x_m")
+
+
+@query("F14_wall_thickness", with_model("""
+, sh AS (SELECT l_orderkey % 20 AS sheet, CAST(l_suppkey % 3 AS INT) AS color, 1.0::DOUBLE + 0.125::DOUBLE * CAST(l_partkey % 10 AS DOUBLE) AS thin FROM lineitem),
+m AS (SELECT sheet, color, round_even(thin, 0) AS pt, count(*) AS n FROM sh GROUP BY 1, 2, 3),
+a AS (SELECT sheet, color, sum(n) AS n_all, arg_max(pt, n * 1000 - pt) AS modal, max(n) AS n_modal FROM m GROUP BY 1, 2),
+q AS (SELECT sheet, color, n_all, n_modal, thin, row_number() OVER (PARTITION BY sheet, color ORDER BY thin) AS i FROM sh JOIN a USING (sheet, color) WHERE round_even(thin, 0) = modal),
+z AS (SELECT *, thin / 10.0::DOUBLE AS th FROM q WHERE i = n_modal // 2 + 1 AND n_all >= 12 AND n_modal / n_all >= 0.3 AND thin / 10.0::DOUBLE BETWEEN 0.08 AND 0.45)
+SELECT sheet, arg_max(color, n_all * 10 - color) AS color, arg_max(th, n_all * 10 - color) AS thickness_m FROM z GROUP BY 1""".lstrip()))
+def f14(spark, sf_dir):
+    x = d.load(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 20 as sheet", "cast(l_suppkey % 3 as int) as color", "1D + 0.125D * cast(l_partkey % 10 as double) as thin")
+    return s.wall_thickness(x, x.select("sheet").distinct().withColumn("scale", F.lit(10.0)))

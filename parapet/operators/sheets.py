@@ -230,3 +230,170 @@ def apportion_height(heights: DataFrame, segments: DataFrame, floors: DataFrame)
     per = per.groupBy("case_id", "top_rank").agg(F.sum("value_m").alias("share"))
     x = fl.join(plan, "case_id").join(per, ["case_id", "top_rank"], "left")
     return x.selectExpr("case_id", "level", "case when even then share when top_rank = 0 then height_m end as height_m")
+
+
+# ---------------------------------------------------------------- dimension chains and scale
+
+def dxf_height(dimensions: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """Overall height of a sheet from its vertical dimensions ``(sheet, measurement, angle, dx, dy, y)``:
+    the largest when it is 1.5x the next, else the largest when a contiguous run of the others (by
+    y) sums to it; the longest such run counts. Prefix sums turn runs into a range join that is keyed
+    by sheet."""
+    v = dimensions.filter("measurement > 0").filter(t.is_vertical("angle", "dx", "dy"))
+    w = Window.partitionBy("sheet").orderBy(F.desc("measurement"), "y")
+    r = v.withColumn("k", F.row_number().over(w))
+    top = r.groupBy("sheet").agg(
+        F.expr("max(measurement) filter (where k = 1)").alias("largest"), F.expr("max(measurement) filter (where k = 2)").alias("second")
+    )
+    sure = top.filter("second is null or largest >= 1.5D * second").selectExpr("sheet", "largest as height_m", "cast(1 as bigint) as n_segments")
+    wy = Window.partitionBy("sheet").orderBy("y", "k")
+    rest = r.filter("k > 1").join(top.filter("largest < 1.5D * second").select("sheet", "largest"), "sheet")
+    p = rest.withColumn("i", F.row_number().over(wy)).withColumn("upto", F.sum("measurement").over(wy.rowsBetween(Window.unboundedPreceding, 0)))
+    # A run that sums to the target is bounded in length, so the join carries the sum range with it.
+    s = p.select("sheet", F.col("i").alias("si"), (F.col("upto") - F.col("measurement")).alias("before"))
+    run = p.join(s, "sheet").filter(f"i >= si and abs(upto - before - largest) <= {tolerance}D")
+    chain = run.groupBy("sheet", "largest").agg(F.max(F.expr("cast(i - si + 1 as bigint)")).alias("n_segments"))
+    return sure.unionByName(chain.selectExpr("sheet", "largest as height_m", "n_segments"))
+
+
+def dim_chains(tokens: DataFrame) -> DataFrame:
+    """Vertical dimension chains: tokens ``(sheet, pos, inches, x, y)`` clustered by x around the first
+    member of each cluster, three or more members, ordered by y with running sums.
+
+    Anchors come from the distinct whole-point positions of a sheet, so the fold is over a bounded set."""
+    xs = tokens.groupBy("sheet").agg(F.collect_set("x").alias("xs"))
+    anchors = xs.select("sheet", F.expr(anchored_clusters("xs", f"{CHAIN_X_PT}D", ">=")).alias("anchors"))
+    x = tokens.join(anchors, "sheet").withColumn("chain", F.expr(f"array_max(filter(anchors, ca -> ca <= x))")).drop("anchors")
+    n = x.groupBy("sheet", "chain").agg(F.count("*").alias("n"), F.avg("x").alias("chain_x")).filter("n >= 3")
+    w = Window.partitionBy("sheet", "chain").orderBy("y", "pos")
+    return x.join(n, ["sheet", "chain"]).withColumn("i", F.row_number().over(w)).withColumn(
+        "upto", F.sum("inches").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+
+
+def bracket_height(tokens: DataFrame) -> DataFrame:
+    """The largest bracket (15 to 120 points beside a chain) that equals a contiguous run of two or
+    more chain segments within half an inch, in metres. Sums are matched on whole inches, so the
+    bracket joins on (sheet, chain, sum) instead of pairing all tokens."""
+    c = dim_chains(tokens)
+    s = c.selectExpr("sheet", "chain", "i as si", "upto - inches as before")
+    runs = c.join(s, ["sheet", "chain"]).filter("i > si").selectExpr("sheet", "chain", "chain_x", "i - si + 1 as n", "cast(upto - before as bigint) as total").distinct()
+    b = tokens.selectExpr("sheet", "cast(inches as bigint) as total", "x as bx").distinct()
+    hit = runs.join(b, ["sheet", "total"]).filter(f"abs(bx - chain_x) >= {CHAIN_X_PT} and abs(bx - chain_x) < 120")
+    return hit.groupBy("sheet").agg(F.max(F.expr(f"total * {t.M_PER_INCH}")).alias("height_m"))
+
+
+def _spans(axis: str, c: str) -> str:
+    a, b = ("y", "x") if axis == "y" else ("x", "y")
+    return (
+        f"(abs({c}.{a} - ({a}0 + {a}1) / 2) <= ({a}1 - {a}0) * 0.2D and {c}.{b} >= {b}0 - ({b}1 - {b}0) * 0.35D"
+        f" and {c}.{b} <= {b}1 + ({b}1 - {b}0) * 0.35D)"
+    )
+
+
+def verified_scale(rects: DataFrame, tokens: DataFrame) -> DataFrame:
+    """C14: scale of each rectangle, accepted only when printed dimensions account for both axes within
+    3 %. ``tokens(sheet, m, x, y)``; tokens are first cut to the distinct values alongside each axis,
+    which is what the pairing runs over."""
+    longest = tokens.groupBy("sheet").agg(F.max("m").alias("longest"))
+    j = rects.join(tokens.filter("m >= 3"), "sheet").withColumn("tk", F.struct("x", "y"))
+    key = [c for c in rects.columns]
+    along = lambda axis, name: j.filter(_spans(axis, "tk")).select(*key, F.col("m").alias(name)).distinct()
+    both = along("y", "my").join(along("x", "mx"), key)
+    w, h = "(x1 - x0)", "(y1 - y0)"
+    rows = (
+        f"inline(array(named_struct('scale', {h} / my, 'err', abs(mx - {w} / ({h} / my)) / ({w} / ({h} / my)), 'total', my + mx),"
+        f" named_struct('scale', {w} / mx, 'err', abs(my - {h} / ({w} / mx)) / ({h} / ({w} / mx)), 'total', my + mx)))"
+    )
+    cand = both.select(*key, F.expr(rows)).join(longest, "sheet").filter(f"err <= 0.03D and greatest({w}, {h}) / scale >= longest * 0.98D")
+    return cand.groupBy(*key).agg(F.expr("min_by(scale, struct(-total, err))").alias("scale"))
+
+
+def wall_thickness(shapes: DataFrame, scales: DataFrame) -> DataFrame:
+    """masonry colour and thickness of a sheet. ``shapes(sheet, color, thin, ...)`` are long thin
+    shapes inside the plot; the mode of whole points, the upper median inside the mode, a real masonry
+    thickness (0.08-0.45 m), a 30 % share and 12 shapes decide; most shapes win.
+
+    Counts per distinct thickness replace sorted lists, so a colour with very many shapes stays spread."""
+    c = shapes.groupBy("sheet", "color", "thin").agg(F.count("*").alias("c")).withColumn("pt", F.expr("bround(thin, 0)"))
+    m = c.groupBy("sheet", "color", "pt").agg(F.sum("c").alias("n"))
+    a = m.groupBy("sheet", "color").agg(F.sum("n").alias("n_all"), F.expr("max_by(pt, struct(n, -pt))").alias("modal"), F.max("n").alias("n_modal"))
+    inside = c.join(a, ["sheet", "color"]).filter("pt = modal")
+    w = Window.partitionBy("sheet", "color").orderBy("thin").rowsBetween(Window.unboundedPreceding, 0)
+    med = inside.withColumn("upto", F.sum("c").over(w)).filter("upto > floor(n_modal / 2)")
+    x = med.groupBy("sheet", "color", "n_all", "n_modal").agg(F.min("thin").alias("thin")).join(scales, "sheet")
+    x = x.withColumn("thickness_m", F.expr("thin / scale"))
+    ok = x.filter("n_all >= 12 and thickness_m between 0.08D and 0.45D and n_modal / n_all >= 0.30D")
+    return ok.groupBy("sheet").agg(F.expr("max_by(struct(color, thickness_m), struct(n_all, -color))").alias("b")).select("sheet", "b.*")
+
+
+# ---------------------------------------------------------------- assembly
+
+def build_floors(sheets: DataFrame, footprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K2: (floors, dropped plan sheets with a note). A sheet without an outline gives no floor."""
+    x = sheets.join(footprints, ["case_id", "role_key"], "left")
+    return x.filter("footprint is not null"), x.filter("footprint is null").selectExpr("case_id", "role_key", "'no usable outline' as note")
+
+
+def dxf_rooms(polylines: DataFrame) -> DataFrame:
+    """K3: closed outlines on room layers."""
+    use = "case " + t.layer_category("layer") + " when 'room_bath' then 'wc' else replace(" + t.layer_category("layer") + ", 'room_', '') end"
+    return polylines.filter("closed").filter(f"startswith({t.layer_category('layer')}, 'room_')").withColumn("use", F.expr(use)).withColumn("confidence", F.lit("medium"))
+
+
+def label_rooms(spans: DataFrame, scales: DataFrame) -> DataFrame:
+    """K4: room labels sized by the next two lines, else by a default. ``spans(sheet, pos, text, x, y)`` with
+    dense ``pos``; the look-ahead is a join on (sheet, pos), so no sheet is sorted in one task."""
+    nxt = lambda n: spans.select("sheet", (F.col("pos") - n).alias("pos"), F.col("text").alias(f"t{n}"))
+    x = spans.withColumn("u", F.expr(t.room_use("text"))).filter("u is not null").join(nxt(1), ["sheet", "pos"], "left").join(nxt(2), ["sheet", "pos"], "left")
+    x = x.withColumn("dims", F.expr(t.feet_inches_all("concat_ws(' ', t1, t2)"))).join(scales, "sheet")
+    return x.selectExpr(
+        "sheet", "pos", "u.use as use", "case when size(dims) >= 2 then 'medium' else 'low' end as confidence",
+        "case when size(dims) >= 2 then dims[0] else u.w end as width_m", "case when size(dims) >= 2 then dims[1] else u.h end as depth_m",
+        "x / scale as x_m", "y / scale as y_m",
+    )
+
+
+def edge_roles(setbacks: DataFrame) -> DataFrame:
+    """``(sheet, bottom, top, left_, right_)`` zoning setbacks -> role of each side. Two flush sides
+    (under 0.05 m) and two open ones identify the pair; the smaller open setback is the front."""
+    sides = "array(" + ", ".join(f"named_struct('o', {i}, 'side', '{n}', 's', {c})" for i, (n, c) in enumerate((("bottom", "bottom"), ("top", "top"), ("left", "left_"), ("right", "right_")))) + ")"
+    x = setbacks.withColumn("sides", F.expr(sides)).withColumn("flush", F.expr("filter(sides, s -> s.s < 0.05D)")).withColumn(
+        "open", F.expr("array_sort(transform(filter(sides, s -> s.s >= 0.05D), s -> named_struct('s', s.s, 'o', s.o, 'side', s.side)))")
+    )
+    role = (
+        "case when size(flush) = 2 and size(open) = 2 then case sd.side when open[0].side then 'front' when open[1].side then 'rear'"
+        " when flush[0].side then 'side_a' else 'side_b' end else 'unknown' end"
+    )
+    return x.select("sheet", "flush", "open", F.expr("explode(sides)").alias("sd")).selectExpr("sheet", "sd.side as side", "sd.s as setback_m", f"{role} as role")
+
+
+def built_extent(plots: DataFrame, walls: DataFrame) -> DataFrame:
+    """Distance from each plot side to the nearest wall shape, in metres; the hull itself is
+    :func:`parapet.operators.hull.hull` over the shapes' corners. ``plots(sheet, x0, y0, x1, y1, scale)``."""
+    w = walls.selectExpr("sheet", "x0 as wx0", "y0 as wy0", "x1 as wx1", "y1 as wy1")
+    x = plots.join(w, "sheet")
+    return x.groupBy("sheet").agg(
+        F.expr("min(abs(y1 - wy1) / scale)").alias("bottom"), F.expr("min(abs(wy0 - y0) / scale)").alias("top"),
+        F.expr("min(abs(wx0 - x0) / scale)").alias("left_"), F.expr("min(abs(x1 - wx1) / scale)").alias("right_"),
+    )
+
+
+def reanchor(floors: DataFrame, geoms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Floors re-anchored to their sheet's hull and marked as an upper bound; and the roles that
+    could not be aligned. ``geoms(case_id, role_key, hull)``."""
+    x = floors.join(geoms, ["case_id", "role_key"], "left")
+    out = x.withColumn("footprint", F.coalesce("hull", "footprint")).withColumn("footprint_is_upper_bound", F.col("hull").isNotNull()).drop("hull")
+    return out, x.filter("hull is null").select("case_id", "role_key")
+
+
+def plot_geometry(labels: DataFrame, strokes: DataFrame, tokens: DataFrame, hint: DataFrame | None = None) -> DataFrame:
+    """K8: plot rectangle, scale and area per sheet: the nearest stroke colour whose rectangle a scale
+    confirms. ``hint(sheet, hint)`` lends a scale from another sheet of the set."""
+    near = near_colours(label_colour(labels, "plot line"), strokes).select("sheet", F.col("stroke_color").alias("color"), "rank")
+    rect = plot_rect(axis_lines(strokes)).join(near, ["sheet", "color"])
+    sc = rect.join(verified_scale(rect, tokens), rect.columns, "left")
+    if hint is not None:
+        sc = sc.join(hint, "sheet", "left").withColumn("scale", F.coalesce("scale", "hint")).drop("hint")
+    best = sc.filter("scale is not null").groupBy("sheet").agg(F.min_by(F.struct("color", "x0", "y0", "x1", "y1", "scale"), "rank").alias("b")).select("sheet", "b.*")
+    return best.withColumn("plot_area_sqm", F.expr("((x1 - x0) / scale) * ((y1 - y0) / scale)"))
