@@ -339,3 +339,48 @@ SELECT sheet, arg_max(color, n_all * 10 - color) AS color, arg_max(th, n_all * 1
 def f14(spark, sf_dir):
     x = d.load(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 20 as sheet", "cast(l_suppkey % 3 as int) as color", "1D + 0.125D * cast(l_partkey % 10 as double) as thin")
     return s.wall_thickness(x, x.select("sheet").distinct().withColumn("scale", F.lit(10.0)))
+
+
+def _chain_tokens(spark, sf_dir):
+    from parapet.functions import text as t
+
+    return d.text_spans(spark, sf_dir).selectExpr("sheet", "pos", t.dim_inches("text") + " as inches", "x", "y").filter("inches is not null")
+
+
+# The anchored clustering is a fold, so these have no SQL twin; tests check them on exact sheets.
+@query("G09_dim_chains")
+def g09(spark, sf_dir):
+    return s.dim_chains(_chain_tokens(spark, sf_dir)).groupBy("sheet", "chain").agg(F.count("*").alias("n"), F.max("upto").alias("total_in"))
+
+
+@query("C15_bracket_height")
+def c15(spark, sf_dir):
+    return s.bracket_height(_chain_tokens(spark, sf_dir))
+
+
+def _metre_tokens(spark, sf_dir):
+    from parapet.functions import text as t
+
+    return d.text_spans(spark, sf_dir).selectExpr("sheet", f"inline(transform({t.feet_inches_all('text')}, m -> named_struct('m', m)))", "x", "y")
+
+
+_TK = "tk AS (SELECT event_id // 50 AS sheet, (user_id % 40 + (event_id % 14) / 12::DOUBLE) * 0.3048::DOUBLE AS m, floor(value) AS x, CAST(event_id % 50 AS DOUBLE) AS y FROM events WHERE event_id % 5 <> 4 AND event_id % 14 < 12)"
+
+
+@query("C14_verified_scale", f"""WITH ev AS ({_EVS}), {_AX}, {_PR}, {_TK}, lg AS (SELECT sheet, max(m) AS longest FROM tk GROUP BY 1),
+sy AS (SELECT DISTINCT pr.*, m AS my FROM pr JOIN tk USING (sheet) WHERE m >= 3 AND abs(y - (y0 + y1) / 2) <= (y1 - y0) * 0.2::DOUBLE AND x >= x0 - (x1 - x0) * 0.35::DOUBLE AND x <= x1 + (x1 - x0) * 0.35::DOUBLE),
+sx AS (SELECT DISTINCT pr.*, m AS mx FROM pr JOIN tk USING (sheet) WHERE m >= 3 AND abs(x - (x0 + x1) / 2) <= (x1 - x0) * 0.2::DOUBLE AND y >= y0 - (y1 - y0) * 0.35::DOUBLE AND y <= y1 + (y1 - y0) * 0.35::DOUBLE),
+b AS (SELECT sy.*, mx FROM sy JOIN sx USING (sheet, color)),
+c AS (SELECT sheet, color, x0, y0, x1, y1, (y1 - y0) / my AS scale, abs(mx - (x1 - x0) / ((y1 - y0) / my)) / ((x1 - x0) / ((y1 - y0) / my)) AS err, my + mx AS total FROM b
+  UNION ALL SELECT sheet, color, x0, y0, x1, y1, (x1 - x0) / mx, abs(my - (y1 - y0) / ((x1 - x0) / mx)) / ((y1 - y0) / ((x1 - x0) / mx)), my + mx FROM b),
+k AS (SELECT c.*, row_number() OVER (PARTITION BY sheet, color ORDER BY total DESC, err) AS rk FROM c JOIN lg USING (sheet) WHERE err <= 0.03::DOUBLE AND greatest(x1 - x0, y1 - y0) / scale >= longest * 0.98::DOUBLE)
+SELECT sheet, CAST(color AS INT) AS color, scale FROM k WHERE rk = 1""")
+def c14(spark, sf_dir):
+    rect = s.plot_rect(s.axis_lines(d.strokes(spark, sf_dir)))
+    return s.verified_scale(rect, _metre_tokens(spark, sf_dir)).select("sheet", "color", "scale")
+
+
+@query("K08_plot_geometry")
+def k08(spark, sf_dir):
+    hint = d.strokes(spark, sf_dir).select("sheet").distinct().withColumn("hint", F.lit(4.0))
+    return s.plot_geometry(d.labels(spark, sf_dir), d.strokes(spark, sf_dir), _metre_tokens(spark, sf_dir), hint)

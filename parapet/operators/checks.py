@@ -191,10 +191,10 @@ def build_facts(tables: dict[str, DataFrame], keys=("model_id",), exclude_baseme
     fl = measured
     edge_cols = [f"edge_{r}" for r in ROLES]
     fl = fl.join(base.select(*on(fl), *edge_cols), on(fl), "inner")
-    fl = fl.select(
-        *fl.columns[: -len(edge_cols)],
-        *[F.expr(g.line_poly_dist(f"edge_{r}.line", "footprint", "b", "area")).alias(f"dist_{r}") for r in ROLES],
-    )
+    lines = ", ".join(f"{c}.line" for c in edge_cols)
+    dists = f"transform(array({lines}), el -> {g.line_poly_dist('el', 'footprint', 'b', 'area')})"
+    fl = fl.select(*fl.columns[: -len(edge_cols)], F.expr(dists).alias("_dists"))
+    fl = fl.select("*", *[F.col("_dists")[i].alias(f"dist_{r}") for i, r in enumerate(ROLES)])
     ff = floor_facts(fl, keys, exclude_basement)
 
     pr = measure_rings(tables["projections"], "polygon")
@@ -209,17 +209,14 @@ def build_facts(tables: dict[str, DataFrame], keys=("model_id",), exclude_baseme
         .join(pf, on(pr), "left")
         .join(cf, on(co), "left")
         .join(rf, on(rooms), "left")
-        .withColumn("n_floors", F.coalesce("n_floors", F.lit(0)))
-        .withColumn("n_usable", F.coalesce("n_usable", F.lit(0)))
-        .withColumn("covered_excl", F.coalesce("covered_excl", F.lit(0.0)))
-        .withColumn("covered_incl", F.coalesce("covered_incl", F.lit(0.0)))
-        .withColumn("has_stilt", F.coalesce("has_stilt", F.lit(False)))
-        .withColumn("any_upper", F.coalesce("any_upper", F.lit(False)))
-        .withColumn("n_proj", F.coalesce("n_proj", F.lit(0)))
-        .withColumn("n_proj_ok", F.coalesce("n_proj_ok", F.lit(0)))
-        .withColumn("n_court", F.coalesce("n_court", F.lit(0)))
-        .withColumn("uses", F.coalesce("uses", F.array().cast("array<string>")))
-        .withColumn("site_width", F.expr(g.mrr_short("plot_polygon")))
+    )
+    defaults = {
+        "n_floors": "0L", "n_usable": "0L", "covered_excl": "0D", "covered_incl": "0D", "has_stilt": "false", "any_upper": "false",
+        "n_proj": "0L", "n_proj_ok": "0L", "n_court": "0L", "uses": "cast(array() as array<string>)",
+    }
+    header = header.selectExpr(
+        *[f"coalesce({c}, {defaults[c]}) as {c}" if c in defaults else c for c in header.columns],
+        g.mrr_short("plot_polygon") + " as site_width",
     )
     upper = tables["floors"].groupBy(*keys).agg(F.bool_or("footprint_is_upper_bound").alias("any_upper"))
     light = (

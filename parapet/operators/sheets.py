@@ -1,4 +1,4 @@
-"""Sheet primitives to models."""
+"""Sheet primitives to models."""
 
 from __future__ import annotations
 
@@ -249,9 +249,12 @@ def dxf_height(dimensions: DataFrame, tolerance: float = 0.02) -> DataFrame:
     wy = Window.partitionBy("sheet").orderBy("y", "k")
     rest = r.filter("k > 1").join(top.filter("largest < 1.5D * second").select("sheet", "largest"), "sheet")
     p = rest.withColumn("i", F.row_number().over(wy)).withColumn("upto", F.sum("measurement").over(wy.rowsBetween(Window.unboundedPreceding, 0)))
-    # A run that sums to the target is bounded in length, so the join carries the sum range with it.
-    s = p.select("sheet", F.col("i").alias("si"), (F.col("upto") - F.col("measurement")).alias("before"))
-    run = p.join(s, "sheet").filter(f"i >= si and abs(upto - before - largest) <= {tolerance}D")
+    # The start of a run is found by its prefix sum: an equi-join on buckets of the tolerance, never all
+    # pairs of a sheet.
+    cell = f"{2 * tolerance}D"
+    s = p.select("sheet", F.col("i").alias("si"), (F.col("upto") - F.col("measurement")).alias("before")).withColumn("bk", F.expr(f"cast(floor(before / {cell}) as bigint)"))
+    e = p.withColumn("need", F.expr("upto - largest")).withColumn("bk", F.expr(f"explode(array(cast(floor(need / {cell}) as bigint) - 1, cast(floor(need / {cell}) as bigint), cast(floor(need / {cell}) as bigint) + 1))"))
+    run = e.join(s, ["sheet", "bk"]).filter(f"i >= si and abs(upto - before - largest) <= {tolerance}D")
     chain = run.groupBy("sheet", "largest").agg(F.max(F.expr("cast(i - si + 1 as bigint)")).alias("n_segments"))
     return sure.unionByName(chain.selectExpr("sheet", "largest as height_m", "n_segments"))
 
@@ -273,13 +276,14 @@ def dim_chains(tokens: DataFrame) -> DataFrame:
 
 def bracket_height(tokens: DataFrame) -> DataFrame:
     """The largest bracket (15 to 120 points beside a chain) that equals a contiguous run of two or
-    more chain segments within half an inch, in metres. Sums are matched on whole inches, so the
-    bracket joins on (sheet, chain, sum) instead of pairing all tokens."""
+    more chain segments within half an inch, in metres. Dimensions are whole inches, so that is
+    equality: the start of a run is looked up by its prefix sum instead of pairing all tokens."""
     c = dim_chains(tokens)
-    s = c.selectExpr("sheet", "chain", "i as si", "upto - inches as before")
-    runs = c.join(s, ["sheet", "chain"]).filter("i > si").selectExpr("sheet", "chain", "chain_x", "i - si + 1 as n", "cast(upto - before as bigint) as total").distinct()
-    b = tokens.selectExpr("sheet", "cast(inches as bigint) as total", "x as bx").distinct()
-    hit = runs.join(b, ["sheet", "total"]).filter(f"abs(bx - chain_x) >= {CHAIN_X_PT} and abs(bx - chain_x) < 120")
+    b = tokens.selectExpr("sheet", "inches as total", "x as bx").distinct()
+    ends = c.join(b, "sheet").filter(f"abs(bx - chain_x) >= {CHAIN_X_PT} and abs(bx - chain_x) < 120")
+    ends = ends.selectExpr("sheet", "chain", "i", "total", "upto - total as before").distinct()
+    starts = c.selectExpr("sheet", "chain", "i as si", "upto - inches as before")
+    hit = ends.join(starts, ["sheet", "chain", "before"]).filter("i > si")
     return hit.groupBy("sheet").agg(F.max(F.expr(f"total * {t.M_PER_INCH}")).alias("height_m"))
 
 
