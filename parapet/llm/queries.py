@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import licenses, pages, secrets, topk
+from parapet.llm import language, licenses, pages, secrets, topk, toxicity
 from parapet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +29,21 @@ def op2(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_licenses")
 def op5(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op7_language")
+def op7(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_topk",
     """
