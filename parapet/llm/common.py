@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.session import cut_lineage
+from parapet.session import cut_lineage, shared_folder
 
 HELD_OUT_FOLD = 2
 
@@ -36,3 +37,15 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
                 yield fn(b)
 
     return df.mapInArrow(run, schema)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the folder of ``spark.checkpoint.dir`` and read it back.
+
+    Unlike a checkpoint, the table's size is known to later joins: Spark broadcasts it only where it is
+    under spark.sql.autoBroadcastJoinThreshold, and sorts and merges beyond that.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parapet.llm.common import written
+
 SAMPLE = 8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,6 +260,7 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ``sample`` slots; the counts and the choice use partial aggregates, so a hot host is no hot task."""
     keyed = pages.select(host().alias("host"), "page_id", F.xxhash64("page_id", "url").alias("h"), "html").filter("html is not null and html <> ''")
     picked = keyed.groupBy("host", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h")
+    picked = written(picked)
     chosen = keyed.join(picked, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.max("html").alias("html"))
 
     def learn(t: pa.Table) -> pa.Table:
@@ -274,7 +277,7 @@ def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     own; repeated rows give repeated results; other columns are ignored; no rows give no rows.
     """
     keyed = pages.select("page_id", "url", "html", host().alias("_host"))
-    joined = keyed.join(wrappers(pages, sample).withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "wrapper")
+    joined = keyed.join(written(wrappers(pages, sample)).withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}
