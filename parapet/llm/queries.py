@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import language, licenses, pages, secrets, topk, toxicity
+from parapet.llm import language, licenses, neardup, pages, secrets, topk, toxicity
 from parapet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op5(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op6_neardup")
+def op6(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 @query("op7_language")
 def op7(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
