@@ -6,9 +6,12 @@
    its smallest member is a hub, and every other member is paired with the hub.
 3. A pair whose likelihood estimate is far below the threshold is dropped, any other is confirmed on
    the full sets, taken from the texts. Confirmed links are joined to components.
-4. Buckets that still hold more than one component go on with further hubs, taken outside the bucket's
-   largest component; a hub that has met all others leaves the bucket. The rounds end when no bucket
-   holds two components, so every pair of a bucket is either tested or known to be connected.
+4. Members of buckets that still hold more than one component are dealt anew, exactly: ordered by how
+   many of these members have it, a set's rarest shingles form a prefix that meets the prefix of every
+   set similar enough. A common core of a large group of copies is in no such prefix, so its members
+   are not paired with each other. Shingle buckets of one component need no pair; the others take hubs
+   outside their largest component, and a hub that has met all others leaves. The rounds end when no
+   bucket holds two components: every pair is tested, ruled out by its prefix, or known to be connected.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.llm import setsketch
@@ -28,7 +31,7 @@ from parapet.llm.words import NOT_SPACE, mix64, shingle_hashes, word_slices
 #: an estimate may lie so many standard errors below the threshold before a pair is given up
 SIGMAS = 5.0
 #: hubs of a bucket in each round after the first
-HUBS = 8
+HUBS = 16
 
 MARKS = "doc_id bigint, n bigint, k1 bigint, k2 bigint, regs binary"
 
@@ -120,29 +123,60 @@ def link(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, D
     members = written(band.join(shared, "bucket"))
     pairs = written(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     rest = members.filter("rep <> hub").select("bucket", "rep")
-    tested, links, comp = pairs, None, None
+    tested, links, comp, exact = pairs, None, None, False
     while True:
         likely = written(_likely(pairs, reps, percent))
         ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
         found = written(_confirmed(likely, _one_text(docs, ids), k, percent))
         links = found if links is None else links.union(found)
         comp = components(links)
-        rest, pairs = _next_round(rest, comp, tested)
-        if pairs is None:
+        live = _live(rest, comp)
+        if not exact and not live.isEmpty():
+            exact = True
+            live = _live(_prefix_buckets(docs, live, reps, k, percent), comp)
+        if live.isEmpty():
             break
+        rest, pairs = _next_round(live, tested)
         tested = tested.union(pairs)
     full = all_marks.drop("regs").join(classes, key, "left")
     return full, links, comp
 
 
-def _next_round(rest: DataFrame, comp: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Members left in buckets of several components, and the pairs of the next hubs; None if done."""
+def _live(rest: DataFrame, comp: DataFrame) -> DataFrame:
+    """(bucket, rep, comp, main) of the buckets that hold several components; main is the largest."""
     seen = rest.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     parts = seen.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("m.comp").alias("main"))
-    live = written(seen.join(main, "bucket"))
-    if live.isEmpty():
-        return live, None
+    return written(seen.join(main, "bucket"))
+
+
+def _prefix_buckets(docs: DataFrame, live: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(bucket, rep): the shared shingles of each live member's prefix.
+
+    A set of n shingles, whose smallest possible partner has l, must share o = percent / (100 + percent)
+    * (n + l) of them; so its n - o + 1 rarest meet those of every partner. Shingles of one member only
+    are the rarest of all and meet nothing: they use up places of the prefix without making a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            for i, u in enumerate(shingle_sets(b.column("text"), k)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), ids[i])), pa.array(u.view(np.int64))], names=["rep", "shingle"])
+
+    sized = live.select("bucket", "rep").join(reps.select("rep", "n"), "rep")
+    least = sized.groupBy("bucket").agg(F.min("n").alias("l"))
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.greatest("l", F.ceil(F.col("n") * percent / 100))) / (100 + percent))
+    members = written(sized.join(least, "bucket").groupBy("rep", "n").agg(F.min("l").alias("l")).select("rep", "n", (F.col("n") - need + 1).alias("places")))
+    texts = _one_text(docs, members.select(F.col("rep").alias("doc_id")))
+    each = written(texts.mapInArrow(run, "rep bigint, shingle bigint"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = each.join(common, "shingle").join(members, "rep").select("*", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")).alias("at"), F.count("*").over(Window.partitionBy("rep")).alias("shared"))
+    return written(ranked.filter("at + (n - shared) <= places").select(F.col("shingle").alias("bucket"), "rep"))
+
+
+def _next_round(live: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members left in their buckets, and the pairs of the next hubs."""
     slot = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
     hubs = written(live.filter("comp <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("rep", "comp")).alias("h")).select("bucket", F.col("h.rep").alias("hub"), F.col("h.comp").alias("hub_comp")))
     met = live.join(hubs, "bucket").filter("comp <> hub_comp").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
