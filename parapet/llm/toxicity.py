@@ -8,7 +8,6 @@ and fits again. The marginals of a text become its score and the offsets of its
 
 from __future__ import annotations
 
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from parapet.llm import crf
 from parapet.llm.common import HELD_OUT_FOLD, fold, map_batches
 from parapet.llm.sample import labelled_sample
-from parapet.llm.words import ALNUM, text_buffers, word_slices
+from parapet.llm.words import ALNUM, Words, constants, mix64, shingle_hashes, text_buffers, word_slices
 
 #: bound of the sample: so many toxic and so many other documents
 PER_CLASS = (1200, 3000)
@@ -34,10 +33,16 @@ CONTEXT = 12
 CLEAN_RUN = 40
 #: marginal from which a word of a document that is not toxic is learned from as a mistake
 MISTAKE_AT = 0.02
-ROUNDS = 3
+ROUNDS = 4
+#: share of a document's shingles that earlier documents of the sample may hold
+MOST_KNOWN = 0.3
 SPAN_AT = 0.5
+#: smaller marginals of a long text must not add up to a toxic word
+LEAST_MARGINAL = 0.3
 THRESHOLD = 0.3
 
+_STEP = constants(1, 47)[0]
+
 
 class Fitted(NamedTuple):
     model: crf.Model
@@ -45,8 +50,62 @@ class Fitted(NamedTuple):
     b: float
 
 
-def _keys(word: bytes) -> list[bytes]:
-    return [b"=" + word, *[word[:k] for k in BEGINNINGS if len(word) > k]]
+def _beginnings(raw: np.ndarray, s: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each distinct word of a slice and of its beginnings (0 where there is none), and the
+    distinct word of each word."""
+    _, at, inverse = np.unique(s.hashes, return_index=True, return_inverse=True)
+    c = crf.word_chars(raw, s.starts[at], s.ends[at])
+    lens = np.diff(c.off) - 2
+    keys, h = [s.hashes[at]], np.zeros(len(at), np.uint64)
+    for k in range(1, BEGINNINGS[-1] + 1):
+        ok = lens > k
+        h[ok] = h[ok] * _STEP + c.b[c.off[:-1][ok] + k]
+        if k in BEGINNINGS:
+            keys.append(np.where(ok, mix64(h + np.array([k], np.uint64)), np.uint64(0)))
+    return np.stack(keys, axis=1), inverse
+
+
+def _unlike(col: pa.Array) -> list[int]:
+    """Documents of the sample of whose shingles most are not in an earlier one: the rare words of a
+    toxic text with many copies would pass for toxic words."""
+    known: set[int] = set()
+    keep = []
+    for s in word_slices(col, ALNUM):
+        for d in range(s.last - s.first):
+            h = np.unique(shingle_hashes(s.hashes[s.doc_off[d] : s.doc_off[d + 1]], 3))
+            own = h[h % np.uint64(4) == 0].tolist()
+            if sum(x in known for x in own) <= MOST_KNOWN * len(own):
+                keep.append(s.first + d)
+                known.update(own)
+    return keep
+
+
+def _seed_tokens(raw: np.ndarray, slices: list[Words], y: np.ndarray) -> np.ndarray:
+    """1 for the words of toxic documents that are, or begin like, a seed."""
+    seen: list[list[np.ndarray]] = [[], []]
+    parts = []
+    for s in slices:
+        keys, inverse = _beginnings(raw, s)
+        parts.append((keys, inverse))
+        docs_of = np.repeat(np.arange(s.first, s.last), np.diff(s.doc_off))
+        for kind in (0, 1):
+            of = y[docs_of] == kind
+            words = np.unique(np.stack([docs_of[of].astype(np.int64), inverse[of].astype(np.int64)], axis=1), axis=0)
+            for d in np.unique(words[:, 0]):
+                k = np.unique(keys[words[words[:, 0] == d, 1]])
+                seen[kind].append(k[k != 0])
+    (clean, n_clean), (toxic, n_toxic) = (np.unique(np.concatenate(x) if x else np.zeros(0, np.uint64), return_counts=True) for x in seen)
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    other = np.zeros(len(toxic))
+    if len(clean):
+        at = np.minimum(np.searchsorted(clean, toxic), len(clean) - 1)
+        other = np.where(clean[at] == toxic, n_clean[at], 0).astype(float)
+    q, n = n1 / (n1 + n0), n_toxic + other
+    surprise = n_toxic * np.log(n_toxic / (n * q)) + np.where(other > 0, other * np.log(np.maximum(other, 1) / (n * (1 - q))), 0)
+    seeds = toxic[(n_toxic / n1 >= LEAST_RATIO * other / n0) & (surprise >= np.log(max(1, len(toxic)) / CHANCE))]
+    token = np.concatenate([np.isin(keys, seeds).any(axis=1)[inverse] for keys, inverse in parts]).astype(np.int64)
+    token[np.repeat(y, np.concatenate([np.diff(s.doc_off) for s in slices])) == 0] = 0
+    return token
 
 
 def _evidence(marginals: np.ndarray, doc_off: np.ndarray) -> np.ndarray:
@@ -54,8 +113,7 @@ def _evidence(marginals: np.ndarray, doc_off: np.ndarray) -> np.ndarray:
     out = np.zeros(len(doc_off) - 1)
     full = np.flatnonzero(np.diff(doc_off))
     if len(full):
-        # small marginals of a long text must not add up to a toxic word
-        p = np.where(marginals[:, 1] >= 0.05, np.minimum(marginals[:, 1], 1 - 1e-6), 0).astype(np.float64)
+        p = np.where(marginals[:, 1] >= LEAST_MARGINAL, np.minimum(marginals[:, 1], 1 - 1e-6), 0).astype(np.float64)
         out[full] = np.add.reduceat(-np.log1p(-p), doc_off[:-1][full])
     return np.log(np.expm1(np.clip(out, 1e-6, 12.0)))
 
@@ -69,45 +127,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLA
     rows = []
     for kind, most in ((1, per_class[0]), (0, per_class[1])):
         rows += labelled_sample(known.filter(F.col("class") == kind), docs.select("doc_id", "text"), most, MOST_CHARS)
+    rows = [rows[i] for i in _unlike(pa.array([t for _, t in rows], pa.string()))]
     y = np.array([c for c, _ in rows])
     if not rows or y.min() == y.max():
         return None
     col = pa.array([t for _, t in rows], pa.string())
     raw, _ = text_buffers(col)
-    data = raw.tobytes()
     slices = list(word_slices(col, ALNUM))
     starts, ends = (np.concatenate([getattr(s, n) for s in slices]) for n in ("starts", "ends"))
     off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s.doc_off) for s in slices]))])
-    words = [data[a:b].lower() for a, b in zip(starts, ends, strict=True)]
-
-    seen = [Counter(), Counter()]
-    for d in range(len(rows)):
-        seen[y[d]].update({k for w in set(words[off[d] : off[d + 1]]) for k in _keys(w)})
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    least = np.log(max(1, len(seen[1])) / CHANCE)
-    seeds = {k for k, c in seen[1].items() if c / n1 >= LEAST_RATIO * seen[0][k] / n0 and _surprise(c, seen[0][k], n1 / (n1 + n0)) >= least}
-    token = np.array([not seeds.isdisjoint(_keys(w)) for w in words], np.int64) if words else np.zeros(0, np.int64)
-    token[np.repeat(y, np.diff(off)) == 0] = 0
-
-    chars = crf.word_chars(raw, starts, ends)
+    token = _seed_tokens(raw, slices, y)
     toxic_word = np.repeat(y, np.diff(off)) == 1
     mistakes = np.zeros(len(token), bool)
     for _ in range(ROUNDS):
         idx, bounds, lab = _sequences(y, off, token, mistakes)
         model = crf.train(crf.word_chars(raw, starts[idx], ends[idx]), bounds, lab, 2, epochs=4)
-        p = crf.forward_backward(crf.emissions(chars, model.weights), off, model)
+        p = np.concatenate([t.marginals for t in crf.tag(col, model)])
         token = ((p[:, 1] >= SPAN_AT) & toxic_word).astype(np.int64)
         mistakes |= (p[:, 1] >= MISTAKE_AT) & ~toxic_word
-    a, b = _calibrate(_evidence(p, off), y, np.where(y == 1, counts[1] / n1, counts[0] / n0))
+    a, b = _calibrate(_evidence(p, off), y, np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum()))
     return Fitted(model, a, b)
 
 
-def _surprise(k: int, other: int, q: float) -> float:
-    """Log likelihood ratio of k of k + other draws against a rate of q."""
-    n = k + other
-    return k * np.log(k / (n * q)) + (other * np.log(other / (n * (1 - q))) if other else 0.0)
-
-
 def _sequences(y: np.ndarray, off: np.ndarray, token: np.ndarray, mistakes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of words around toxic tokens; of every other document a run, and those around mistakes."""
     rng = np.random.default_rng(9)
