@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import language, licenses, neardup, pages, secrets, topk, toxicity
+from parapet.llm import decontaminate, language, licenses, neardup, pages, secrets, topk, toxicity
 from parapet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_decontaminate")
+def op1(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_secrets")
 def op2(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
