@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parapet.llm.common import map_batches, written
+from parapet.llm.common import map_batches, without, written
 from parapet.llm.words import ALNUM, constants, mix64, word_slices
 
 SIMILARITY = 0.8
@@ -247,4 +247,4 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rec
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that an item leaks into; the columns stay as they are."""
     gone = written(leaks(docs, items).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone)

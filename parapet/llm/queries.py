@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import decontaminate, language, licenses, neardup, pages, secrets, topk, toxicity
+from parapet.llm import decontaminate, language, licenses, mixing, neardup, pages, secrets, topk, toxicity
 from parapet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op2(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op3_mixing")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mixed(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 @query("op4_toxicity")
 def op4(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
