@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.llm import setsketch
-from parapet.llm.common import map_batches, written
+from parapet.llm.common import id_filter, map_batches, maybe_in, without, written
 from parapet.llm.graph import components
 from parapet.llm.words import NOT_SPACE, mix64, shingle_hashes, word_slices
 
 #: an estimate may lie so many standard errors below the threshold before a pair is given up
 SIGMAS = 5.0
 #: hubs of a bucket in each round after the first
-HUBS = 16
+HUBS = 512
 
 MARKS = "doc_id bigint, n bigint, k1 bigint, k2 bigint, regs binary"
 
@@ -106,7 +106,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 def _one_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents named by ``ids`` (doc_id), one row each."""
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = maybe_in(docs.select("doc_id", "text"), id_filter(ids))
+    return some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def link(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -126,7 +127,7 @@ def link(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, D
     tested, links, comp, exact = pairs, None, None, False
     while True:
         likely = written(_likely(pairs, reps, percent))
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
+        ids = written(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct())
         found = written(_confirmed(likely, _one_text(docs, ids), k, percent))
         links = found if links is None else links.union(found)
         comp = components(links)
@@ -136,22 +137,22 @@ def link(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, D
             live = _live(_prefix_buckets(docs, live, reps, k, percent), comp)
         if live.isEmpty():
             break
-        rest, pairs = _next_round(live, tested)
+        rest, pairs = _next_round(live, tested, percent)
         tested = tested.union(pairs)
     full = all_marks.drop("regs").join(classes, key, "left")
     return full, links, comp
 
 
 def _live(rest: DataFrame, comp: DataFrame) -> DataFrame:
-    """(bucket, rep, comp, main) of the buckets that hold several components; main is the largest."""
-    seen = rest.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
+    """The rows of ``rest`` in buckets that hold several components, with comp and main, the largest."""
+    seen = rest.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*rest.columns, F.coalesce("comp", "rep").alias("comp"))
     parts = seen.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("m.comp").alias("main"))
     return written(seen.join(main, "bucket"))
 
 
 def _prefix_buckets(docs: DataFrame, live: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(bucket, rep): the shared shingles of each live member's prefix.
+    """(bucket, rep, n, at): the shared shingles of each live member's prefix, and their places in it.
 
     A set of n shingles, whose smallest possible partner has l, must share o = percent / (100 + percent)
     * (n + l) of them; so its n - o + 1 rarest meet those of every partner. Shingles of one member only
@@ -171,17 +172,23 @@ def _prefix_buckets(docs: DataFrame, live: DataFrame, reps: DataFrame, k: int, p
     texts = _one_text(docs, members.select(F.col("rep").alias("doc_id")))
     each = written(texts.mapInArrow(run, "rep bigint, shingle bigint"))
     common = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = each.join(common, "shingle").join(members, "rep").select("*", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")).alias("at"), F.count("*").over(Window.partitionBy("rep")).alias("shared"))
-    return written(ranked.filter("at + (n - shared) <= places").select(F.col("shingle").alias("bucket"), "rep"))
+    ranked = each.join(common, "shingle").join(members, "rep").select("*", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")).alias("row"), F.count("*").over(Window.partitionBy("rep")).alias("shared"))
+    return written(ranked.withColumn("at", F.expr("row + n - shared")).filter("at <= places").select(F.col("shingle").alias("bucket"), "rep", "n", "at"))
 
 
-def _next_round(live: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members left in their buckets, and the pairs of the next hubs."""
+def _next_round(live: DataFrame, tested: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members left in their buckets, and the pairs of the next hubs.
+
+    A pair is met in the bucket of the first shingle, in rarity, that both have: what they share lies
+    from there on in both sets, which rules out the pairs for which that is too little.
+    """
     slot = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
-    hubs = written(live.filter("comp <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("rep", "comp")).alias("h")).select("bucket", F.col("h.rep").alias("hub"), F.col("h.comp").alias("hub_comp")))
-    met = live.join(hubs, "bucket").filter("comp <> hub_comp").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    hubs = live.filter("comp <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("rep", "comp", "n", "at")).alias("h"))
+    hubs = written(hubs.select("bucket", F.col("h.rep").alias("hub"), F.col("h.comp").alias("h_comp"), F.col("h.n").alias("h_n"), F.col("h.at").alias("h_at")))
+    possible = f"live.bucket = hubs.bucket and comp <> h_comp and {100 + percent} * (1 + least(n - at, h_n - h_at)) >= {percent} * (n + h_n)"
+    met = live.alias("live").join(hubs.alias("hubs"), F.expr(possible)).select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     pairs = written(met.join(tested, ["a", "b"], "left_anti"))
-    rest = written(live.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep"))
+    rest = written(live.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").drop("comp", "main"))
     return rest, pairs
 
 
@@ -203,4 +210,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates; the columns stay as they are."""
     gone = written(near_duplicates(docs, k, percent).filter(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone)
