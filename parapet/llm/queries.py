@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import decontaminate, language, licenses, mixing, neardup, pages, secrets, topk, toxicity
+from parapet.llm import decontaminate, language, licenses, mixing, neardup, pages, passages, secrets, topk, toxicity
 from parapet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op7(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op8_passages")
+def op8(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_topk",
     """
