@@ -96,7 +96,7 @@ floors0 AS (
   SELECT *, l_orderkey AS model_id, CAST(rn - 1 AS INT) AS floor_pos,
     CAST(rn - 1 - (CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END) AS INT) AS level,
     0.25::DOUBLE * CAST(4 + l_partkey % 8 AS DOUBLE) AS x0, 0.25::DOUBLE * CAST(8 + l_suppkey % 12 AS DOUBLE) AS y0
-  FROM lr WHERE rn <= 5),
+  FROM lr),
 floors AS (
   SELECT *, (x1 - x0) * (y1 - y0) AS area FROM (
     SELECT model_id, floor_pos, level, (level = 0 AND model_id % 6 = 0) AS is_stilt, x0, y0,
@@ -119,11 +119,11 @@ rooms AS (
 PROJ = """
 projections AS (
   SELECT l_orderkey AS model_id, rn AS pos, 0.25::DOUBLE * CAST(1 + l_partkey % 12 AS DOUBLE) AS d, 0.5::DOUBLE * CAST(1 + l_suppkey % 10 AS DOUBLE) AS pw
-  FROM lr WHERE l_linenumber = 5)"""
+  FROM lr WHERE l_partkey % 2 = 0)"""
 COURT = """
 courtyards AS (
   SELECT l_orderkey AS model_id, rn AS pos, 1.5::DOUBLE + 0.25::DOUBLE * CAST(l_partkey % 10 AS DOUBLE) AS cw, 2.0::DOUBLE + 0.25::DOUBLE * CAST(l_suppkey % 12 AS DOUBLE) AS cd
-  FROM lr WHERE l_linenumber = 6)"""
+  FROM lr WHERE l_partkey % 2 = 1)"""
 FACTS = """
 fdist AS (
   SELECT f.*,
@@ -225,7 +225,7 @@ def _lower_bound(kind, col, lim, src, item, **kw):
 
 
 _FL_SFX = "' (floor ' || level || ')'"
-_ROOM_ITEM = "(floor_pos::BIGINT*65536 + room_index)"
+_ROOM_ITEM = "(floor_pos::BIGINT*2147483648 + room_index)"
 _ZONE_IN = "(x0 >= 1.5 AND y0 >= 3.0 AND x1 <= w - 1.5 AND y1 <= l - 3.0)"
 
 RAW: dict[str, list[str]] = {
@@ -317,7 +317,7 @@ def raw_sql(kinds) -> str:
 
 
 def findings_select(kinds) -> str:
-    return f"""SELECT x.model_id, r.rule_pos::BIGINT * 4294967296 + x.item AS finding_seq, x.rule_id,
+    return f"""SELECT x.model_id, r.rule_pos::BIGINT * 70368744177664 + x.item AS finding_seq, x.rule_id,
   CASE WHEN soft THEN 'ambiguity' ELSE status END AS status, r.severity,
   r.title || suffix || CASE WHEN soft THEN ' - confirm against the drawing' ELSE '' END AS title,
   obs AS observed_num, req AS required_num, comp AS compoundable,

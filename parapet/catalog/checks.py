@@ -116,6 +116,18 @@ def a05(spark, sf_dir):
     return good.select("model_id", "pack").unionByName(missing.select("model_id", "pack"))
 
 
+@query(
+    "A05_unresolved_findings",
+    with_findings("""SELECT p.model_id, CASE WHEN p.model_id % 9 = 0 THEN 1 ELSE count(f.model_id) END AS n_findings, CASE WHEN p.model_id % 9 = 0 THEN 1 ELSE 0 END AS n_unresolved
+FROM plots p LEFT JOIN findings f USING (model_id) GROUP BY 1 HAVING p.model_id % 9 = 0 OR count(f.model_id) > 0"""),
+)
+def a05_unresolved(spark, sf_dir):
+    t = d.model_tables(spark, sf_dir)
+    t["plots"] = t["plots"].withColumn("rule_pack", F.expr("case when model_id % 9 = 0 then 'no_such_pack' else rule_pack end"))
+    found = evaluate(t, read_packs(spark))
+    return found.groupBy("model_id").agg(F.count("*").alias("n_findings"), F.count_if(F.col("rule_id") == c.UNRESOLVED).alias("n_unresolved"))
+
+
 @query("B01_enforced", with_model("SELECT p.model_id, count(*) AS n_enforced FROM plots p JOIN rules r USING (rule_pack) WHERE r.enforced GROUP BY 1"))
 def b01(spark, sf_dir):
     r = c.enforced(read_packs(spark))
@@ -127,7 +139,7 @@ def _conflicted(spark):
 
 
 @query("B02_conflict_findings", with_model("""
-SELECT p.model_id, r.rule_pos::BIGINT * 4294967296 AS finding_seq, rule_id, 'unknown' AS status, severity, title, NULL::DOUBLE AS observed_num, NULL::DOUBLE AS required_num,
+SELECT p.model_id, r.rule_pos::BIGINT * 70368744177664 AS finding_seq, rule_id, 'unknown' AS status, severity, title, NULL::DOUBLE AS observed_num, NULL::DOUBLE AS required_num,
   false AS compoundable, 'instrument_conflict' AS ambiguity_class, 0 AS n_remedies, false AS has_geometry
 FROM plots p JOIN rules r USING (rule_pack) WHERE r.enforced AND r.rule_pos % 7 = 0 AND p.authority <> 'UNKNOWN'"""))
 def b02(spark, sf_dir):

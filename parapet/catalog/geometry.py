@@ -52,9 +52,9 @@ def d05(spark, sf_dir):
     return x.selectExpr(*_KEY, g.within("footprint", "zoned_area") + " as in_zone", g.within("footprint", "tri") + " as in_triangle")
 
 
-@query("D06_line_poly_dist", with_model("SELECT model_id, floor_pos, greatest(0.0::DOUBLE, y0 - l, l - y1) AS rear_gap FROM floors JOIN plots USING (model_id) WHERE x0 <= w"))
+@query("D06_line_poly_dist", with_model("SELECT model_id, floor_pos, d_rear AS rear_gap FROM fdist"))
 def d06(spark, sf_dir):
-    x = _with_plot(spark, sf_dir).withColumn("b", F.expr(g.bounds("footprint"))).filter("b.xmin <= w")
+    x = _with_plot(spark, sf_dir).withColumn("b", F.expr(g.bounds("footprint")))
     return x.withColumn("rear", F.expr(g.line("w", "l", 0, "l"))).selectExpr(*_KEY, g.line_poly_dist("rear", "footprint", "b") + " as rear_gap")
 
 

@@ -293,7 +293,7 @@ def k12(spark, sf_dir):
     return s.edge_roles(x).select("sheet", "side", "role")
 
 
-@query("K11_built_extent", with_model("SELECT model_id AS sheet, min(abs(l - y1) / 2) AS bottom, min(y0 / 2) AS top, min(x0 / 2) AS left_, min(abs(w - x1) / 2) AS right_ FROM floors JOIN plots USING (model_id) GROUP BY 1"))
+@query("K11_built_extent", with_model("SELECT model_id AS sheet, min(d_rear / 2) AS bottom, min(d_front / 2) AS top, min(d_side_a / 2) AS left_, min(d_side_b / 2) AS right_ FROM fdist GROUP BY 1"))
 def k11(spark, sf_dir):
     p = d.plots(spark, sf_dir).selectExpr("model_id as sheet", "0D as x0", "0D as y0", "w as x1", "l as y1", "2D as scale")
     f = d._floor_rows(spark, sf_dir).selectExpr("model_id as sheet", "x0", "y0", "x1", "y1")

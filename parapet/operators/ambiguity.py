@@ -97,8 +97,10 @@ def vintage_side(date: str, cutoff: str) -> str:
 
 
 def vintage(plots: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``cutoffs(cutoff_date date, regime, doc, clause)`` is a handful of rows."""
-    x = plots.filter("allotment_date is not null").crossJoin(F.broadcast(cutoffs))
+    """``cutoffs(cutoff_date date, regime, doc, clause)``. Every plot meets every cutoff; they reach
+    the plots as one aggregated row, so a plot's row is never moved."""
+    every = cutoffs.agg(F.collect_list(F.struct("cutoff_date", "regime", "doc", "clause")).alias("_cuts"))
+    x = plots.filter("allotment_date is not null").crossJoin(every).select(*plots.columns, F.inline("_cuts"))
     x = x.withColumn("side", F.expr(vintage_side("allotment_date", "cutoff_date")))
     return _triggers(
         x, "vintage", "concat('allotted ', side, ' ', cutoff_date, ' for ', regime)",

@@ -23,7 +23,7 @@ from parapet.schemas import CITATION, HABITABLE_USES, REMEDY
 
 EPS = "1e-9D"
 ROLES = ("front", "rear", "side_a", "side_b")
-ITEM_SPAN = 1 << 32
+ITEM_SPAN = 1 << 46
 
 FINDING_COLUMNS = (
     "finding_seq", "rule_id", "status", "severity", "title", "citation", "observed_num",
@@ -544,7 +544,7 @@ def courtyard_level(facts: Facts, rules: DataFrame, kinds=("courtyard_min_area",
     return _decide(x, o, facts.keys)
 
 
-_ROOM_ITEM = "cast({0}floor_pos as bigint) * 65536 + {0}room_index"
+_ROOM_ITEM = "cast({0}floor_pos as bigint) * 2147483648 + {0}room_index"
 
 
 def first_room_per_level(rooms: DataFrame, keys=("model_id",), uses=None) -> DataFrame:
@@ -628,6 +628,16 @@ def conflict_findings(plots: DataFrame, rules: DataFrame, keys=("model_id",)) ->
     return _decide(x.withColumn("any_upper", F.lit(False)), make("'unknown'", "'instrument_conflict'"), list(keys))
 
 
+UNRESOLVED = "pack.unresolved"
+
+
+def unresolved_pack(plots: DataFrame, keys=("model_id",)) -> DataFrame:
+    """One blocking finding for a plot whose rule pack is not there; ``plots`` are the unresolved ones."""
+    none = F.lit(None).cast("string")
+    cite = F.struct(*[F.lit(v).alias(n) for n, v in (("doc", "n/a"), ("clause", "n/a"), ("version", "n/a"))], none.alias("url"), F.lit("seed_unverified").alias("status")).cast(CITATION)
+    return _one_finding(plots.withColumn("cite", cite), keys, F.lit(UNRESOLVED), "No rule pack for this plot", F.col("cite"), F.col("rule_pack"), F.lit("a known rule pack"))
+
+
 def unknown_authority(plots: DataFrame, rules: DataFrame, keys=("model_id",)) -> DataFrame:
     """Exactly one blocking finding for a plot whose authority is unknown."""
     packs = rules.groupBy(F.col("rule_pack").alias("_pack")).agg(
@@ -641,18 +651,23 @@ def unknown_authority(plots: DataFrame, rules: DataFrame, keys=("model_id",)) ->
         F.col("pack_doc_id").alias("doc"), F.lit("n/a").alias("clause"), F.lit("n/a").alias("version"),
         F.lit(None).cast("string").alias("url"), F.lit("seed_unverified").alias("status"),
     ).cast(CITATION)
+    return _one_finding(x, keys, F.concat("pack_id", F.lit(".jurisdiction.unknown")), "Authority of the plot is not known", cite, F.col("authority"), F.coalesce("jurisdiction", F.lit("an unspecified authority")))
+
+
+def _one_finding(x: DataFrame, keys, rule_id: Column, title: str, cite: Column, observed: Column, required: Column) -> DataFrame:
+    """A blocking ``unknown`` finding about the plot's jurisdiction for each row."""
     return x.select(
         *keys,
         F.lit(0).cast("bigint").alias("finding_seq"),
-        F.concat("pack_id", F.lit(".jurisdiction.unknown")).alias("rule_id"),
+        rule_id.alias("rule_id"),
         F.lit("unknown").alias("status"),
         F.lit("blocking").alias("severity"),
-        F.lit("Authority of the plot is not known").alias("title"),
+        F.lit(title).alias("title"),
         cite.alias("citation"),
         F.lit(None).cast("double").alias("observed_num"),
-        F.col("authority").alias("observed_txt"),
+        observed.alias("observed_txt"),
         F.lit(None).cast("double").alias("required_num"),
-        F.coalesce("jurisdiction", F.lit("an unspecified authority")).alias("required_txt"),
+        required.alias("required_txt"),
         F.lit(None).cast(g.RING).alias("geometry_ref"),
         F.lit(False).alias("compoundable"),
         F.lit("missing_input").alias("ambiguity_class"),

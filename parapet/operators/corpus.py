@@ -24,15 +24,15 @@ def strip(e: str) -> str:
     return f"regexp_replace({e}, r'{STRIP}', '')"
 
 
-def split_lines(pages: DataFrame, max_lines_per_page: int = 1_000_000) -> DataFrame:
+def split_lines(pages: DataFrame) -> DataFrame:
     """``pages(doc_id, page, text)`` -> non-blank lines with a position that is dense inside the page.
 
-    ``pos`` = page * max_lines_per_page + index keeps reading order without a window.
+    ``pos`` = page * 2**32 + index keeps reading order without a window; an index is below 2**31.
     """
     lines = f"filter(transform(split(text, '\\n'), sl -> {strip('sl')}), sl -> sl <> '')"
     return pages.select(
         "doc_id", "page", F.expr(t.ocr_required("text")).alias("ocr"), F.posexplode(F.expr(lines)).alias("_i", "line")
-    ).selectExpr("doc_id", f"cast(page as bigint) * {max_lines_per_page} + _i as pos", "page", "ocr", "line")
+    ).selectExpr("doc_id", "cast(page as bigint) * 4294967296 + _i as pos", "page", "ocr", "line")
 
 
 def _neighbours(lines: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def locate_headings(docs: DataFrame, headings: list[tuple[str, str]]) -> DataFra
     ``docs(doc_id, lines array<string>)``; ``headings`` is a fixed list of (number, title).
     """
     hs = ", ".join(
-        f"named_struct('num', '{n}', 'title', '{h}', 'key', {t.norm_key(repr((h if not n[0].isdigit() else n + h[:24])))})" for n, h in headings
+        f"named_struct('num', '{n}', 'title', '{h}', 'key', {t.norm_key(repr((h if not n[0].isdigit() else n + h)))})" for n, h in headings
     )
     x = docs.select(
         "doc_id",

@@ -99,10 +99,10 @@ def edit_grid(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     trim = t.filter("to_projection").join(pr, "model_id").select("*", F.expr(step).alias("k"))
     parts.append(_edit(trim, 3, ["pos", "k"], op="'trim_projection'", pos="pos", delta_m=delta))
 
-    base = first.filter("level = -1").selectExpr("model_id", "least(f.b.xmax - f.b.xmin, f.b.ymax - f.b.ymin) as span")
+    base = first.filter("level = -1").selectExpr("model_id", "f.floor_pos as floor_pos", "least(f.b.xmax - f.b.xmin, f.b.ymax - f.b.ymin) as span")
     # The inset vanishes once twice the step reaches the short side.
     dig = t.filter("to_basement").join(base, "model_id").select("*", F.expr(step).alias("k")).filter(f"2 * {delta} < span")
-    parts.append(_edit(dig, 4, ["k"], op="'reduce_basement_footprint'", level="-1", delta_m=delta))
+    parts.append(_edit(dig, 4, ["k"], op="'reduce_basement_footprint'", floor_pos="floor_pos", level="-1", delta_m=delta))
 
     rooms = t.filter("to_room").join(tables["rooms"].select("model_id", "floor_pos", "level", "room_index", "use", "polygon"), "model_id")
     new = f"explode(array_except(array({', '.join(repr(u) for u in RELABEL_USES)}), array(use)))"
@@ -203,13 +203,13 @@ def apply_edits(candidates: DataFrame, tables: dict[str, DataFrame]) -> dict[str
         "new_fp",
         F.expr(
             f"case when nb is not null then case when {_alive('nb')} then {g.rect_ring('nb.xmin', 'nb.ymin', 'nb.xmax', 'nb.ymax')} end"
-            f" when op = 'reduce_basement_footprint' and level = -1 then {g.inset('footprint', 'delta_m')} else footprint end"
+            f" when op = 'reduce_basement_footprint' and floor_pos = e_floor then {g.inset('footprint', 'delta_m')} else footprint end"
         ),
     )
     dead = fl.filter("new_fp is null and footprint is not null").select(*KEYS).distinct()
     floors = fl.select(*KEYS, "floor_pos", "level", "is_stilt", F.col("new_fp").alias("footprint"), "height_m", "footprint_is_upper_bound")
 
-    changed = fl.filter(f"{hit} or (op = 'reduce_basement_footprint' and level = -1)").select(
+    changed = fl.filter(f"{hit} or (op = 'reduce_basement_footprint' and floor_pos = e_floor)").select(
         *KEYS, F.col("floor_pos"), F.expr(g.bounds("new_fp")).alias("box")
     )
     rm = tables["rooms"].join(short.drop("edge_line", "centre", "delta_m", "e_level", "e_pos"), "model_id").join(changed, [*KEYS, "floor_pos"], "left")
@@ -224,6 +224,9 @@ def apply_edits(candidates: DataFrame, tables: dict[str, DataFrame]) -> dict[str
         "openings_area_sqm", "confidence",
     )
     pj = tables["projections"].join(short.select(*KEYS, "op", "e_pos", "delta_m"), "model_id")
+    # an outline whose inset is not known kills the candidate; only one that vanishes is dropped
+    stuck = pj.filter(f"op = 'trim_projection' and pos = e_pos and not coalesce({g.is_convex('polygon')}, true)").select(*KEYS)
+    dead = dead.union(stuck).distinct()
     pj = pj.withColumn("polygon", F.expr(f"case when op = 'trim_projection' and pos = e_pos then {g.inset('polygon', 'delta_m')} else polygon end"))
     projections = pj.filter("not (op = 'trim_projection' and pos = e_pos and polygon is null)").select(*KEYS, "pos", "type", "floor", "polygon")
     plots = tables["plots"].join(edit.select(*KEYS), "model_id").join(dead, list(KEYS), "left_anti")

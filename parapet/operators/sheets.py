@@ -377,10 +377,11 @@ def built_extent(plots: DataFrame, walls: DataFrame) -> DataFrame:
     :func:`parapet.operators.hull.hull` over the shapes' corners. ``plots(sheet, x0, y0, x1, y1, scale)``."""
     w = walls.selectExpr("sheet", "x0 as wx0", "y0 as wy0", "x1 as wx1", "y1 as wy1")
     x = plots.join(w, "sheet")
-    return x.groupBy("sheet").agg(
-        F.expr("min(abs(y1 - wy1) / scale)").alias("bottom"), F.expr("min(abs(wy0 - y0) / scale)").alias("top"),
-        F.expr("min(abs(wx0 - x0) / scale)").alias("left_"), F.expr("min(abs(x1 - wx1) / scale)").alias("right_"),
-    )
+    # distance of the shape's box to the side as a segment; a shape across the side touches it
+    dx, dy = "greatest(0D, x0 - wx1, wx0 - x1)", "greatest(0D, y0 - wy1, wy0 - y1)"
+    to_y = lambda s: f"min(sqrt(pow({dx}, 2) + pow(greatest(0D, wy0 - {s}, {s} - wy1), 2)) / scale)"
+    to_x = lambda s: f"min(sqrt(pow({dy}, 2) + pow(greatest(0D, wx0 - {s}, {s} - wx1), 2)) / scale)"
+    return x.groupBy("sheet").agg(F.expr(to_y("y1")).alias("bottom"), F.expr(to_y("y0")).alias("top"), F.expr(to_x("x0")).alias("left_"), F.expr(to_x("x1")).alias("right_"))
 
 
 def reanchor(floors: DataFrame, geoms: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -76,7 +76,6 @@ def _ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _floor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _ranked_lines(spark, sf_dir)
-        .filter("rn <= 5")
         .selectExpr(
             "l_orderkey as model_id",
             "rn - 1 as floor_pos",
@@ -129,7 +128,7 @@ def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, w = "0.25D * cast(1 + l_partkey % 12 as double)", "0.5D * cast(1 + l_suppkey % 10 as double)"
     return (
         _ranked_lines(spark, sf_dir)
-        .filter("l_linenumber = 5")
+        .filter("l_partkey % 2 = 0")
         .selectExpr(
             "l_orderkey as model_id", "rn as pos", "'balcony' as type", "1 as floor",
             g.rect_ring(2, 0, f"2D + {w}", d) + " as polygon",
@@ -141,7 +140,7 @@ def courtyards(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, d = "1.5D + 0.25D * cast(l_partkey % 10 as double)", "2D + 0.25D * cast(l_suppkey % 12 as double)"
     return (
         _ranked_lines(spark, sf_dir)
-        .filter("l_linenumber = 6")
+        .filter("l_partkey % 2 = 1")
         .selectExpr(
             "l_orderkey as model_id", "rn as pos", g.rect_ring(3, 3, f"3D + {w}", f"3D + {d}") + " as ring"
         )

@@ -18,14 +18,15 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema("submission_id string, ts timestamp, " + S.MODEL_JSON.strip()).json(path)
 
 
-def stream_checks(submissions: DataFrame, rules: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """O1: findings of each new submission. Repeated submissions inside the watermark are dropped;
-    ``sink(findings, batch_id)`` must be idempotent per batch id."""
+def stream_checks(submissions: DataFrame, rules: DataFrame, sink: Callable[[DataFrame, int], None], rejects: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
+    """O1: findings of each new submission; invalid ones go to ``rejects``. Repeated submissions inside the watermark are dropped;
+    both sinks must be idempotent per batch id."""
     once = submissions.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["submission_id"])
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        ok, _ = validate(df)
+        ok, bad = validate(df)
         sink(evaluate(normalise(ok), rules), batch_id)
+        rejects(bad, batch_id)
 
     return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 

@@ -71,13 +71,20 @@ def test_submission_stream_checks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [{"submission_id": f"s{i}", "ts": "2024-01-01T00:00:00Z", **m} for i, m in enumerate(golden()[:2])]
     rows.append(rows[0])
+    rows.append({"submission_id": "bad", "ts": "2024-01-01T00:00:00Z", **golden()[0], "model_id": 99, "source": "fax"})
     (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps(r) for r in rows))
     seen = {}
 
     def sink(df, batch_id):
         seen[batch_id] = df.groupBy("model_id").count().collect()
 
-    q = jobs.stream_checks(jobs.read_submissions(spark, str(tmp_path / "in")), read_packs(spark), sink, str(tmp_path / "cp"))
+    refused = []
+
+    def rejects(df, batch_id):
+        refused.extend(r.model_id for r in df.select("model_id").distinct().collect())
+
+    q = jobs.stream_checks(jobs.read_submissions(spark, str(tmp_path / "in")), read_packs(spark), sink, rejects, str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
     assert {r.model_id: r["count"] for b in seen.values() for r in b} == {2: 21, 4: 24}
+    assert refused == [99]
