@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     full, _, comp = link(docs, k, percent)
     out = full.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("comp", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
