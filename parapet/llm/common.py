@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +16,8 @@ from parapet.llm.words import mix64
 from parapet.session import shared_folder
 
 HELD_OUT_FOLD = 2
+#: rows of an Arrow batch: with texts of a few KB, some MB on either side of the pipe
+BATCH_ROWS = 1500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +29,23 @@ def fold(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4
 
 
+def give_back() -> None:
+    """Return freed memory of this Python process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch of ``df``."""
+    """Apply ``fn`` to each Arrow batch of ``df``. Batches are kept to BATCH_ROWS rows of text, and a
+    worker gives its memory back after each task, because it waits for others of the same executor."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield fn(b)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ BITS = 17
 AFFIXES = 6
 GRAMS = (2, 3)
 #: words whose emissions are held at once before forward-backward runs over them
-HELD_WORDS = 2_000_000
+HELD_WORDS = 600_000
 
 _C = constants(8, 23)
 
