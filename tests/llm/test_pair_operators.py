@@ -92,6 +92,24 @@ def test_leaks_match_planted_edits(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 == decontaminate.leaks(docs.limit(0), bench).count()
 
 
+def test_leaks_cut_or_replaced_at_either_end(spark):
+    rng = np.random.default_rng(7)
+    items = [[f"b{x}" for x in rng.integers(0, 10**6, n)] for n in (20, 50, 100, 203)]
+    fill = lambda n: [f"d{x}" for x in rng.integers(0, 10**6, n)]
+    docs, want = [], set()
+    for k, item in enumerate(items):
+        t = len(item) // 5
+        for body in (item[t:], item[:-t], fill(t) + item[t:], item[:-t] + fill(t), varied(rng, item, t).split()):
+            for before, after in ((0, 90), (90, 0), (7, 90), (43, 43), (0, 0)):
+                want.add((len(docs), k, before, len(item) // 5))
+                docs.append((len(docs), " ".join(fill(before) + body + fill(after))))
+        docs.append((len(docs), " ".join(item[t + 1 :])))
+    docs, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {w[:2] for w in want}
+    assert all(got[d, i].edits == e and abs(got[d, i].start_word - before) <= e for d, i, before, e in want)
+
+
 def test_edit_distance():
     h = np.arange(1, 9, dtype=np.uint64)
     assert decontaminate.edit_distance(h, np.concatenate([h + np.uint64(50), h, h])) == 0
