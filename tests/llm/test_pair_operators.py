@@ -127,6 +127,24 @@ def test_compact_windows_cover_every_stretch():
                 assert [h[c] for a, c, b in w if a <= i and j <= b and h[c] == h[i : j + 1].min()]
 
 
+def test_passages_of_finds_every_copy():
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    p, b = fresh(70), lambda *parts: np.concatenate([fresh(30), *parts, fresh(30)])
+    teaser = b(p[:42], fresh(60), p)
+    assert passages.passages_of(teaser, b(p)) == [(132, 202, 30, 100)]
+    # a longer excerpt is a passage of its own, and so is a second copy on either side
+    assert {x[:2] for x in passages.passages_of(b(p[:50], fresh(60), p), b(p))} == {(30, 80), (140, 210)}
+    got = passages.passages_of(b(p, fresh(60), p), b(p, fresh(60), p, fresh(60), p))
+    assert {x[:2] for x in got} == {(30, 100), (160, 230)} and {x[2:] for x in got} == {(30, 100), (160, 230), (290, 360)}
+    # 20 shingles more inside one copy, and text of one shingle only
+    q = fresh(70)
+    assert passages.passages_of(b(p, fresh(20), q), b(p, q)) == [(30, 190, 30, 170)]
+    one = np.repeat(p[:1], 2000)
+    assert passages.passages_of(one, one) == [(0, 2000, 0, 2000)]
+    assert passages.passages_of(fresh(200), b(p)) == [] == passages.passages_of(fresh(0), b(p))
+
+
 def test_repeated_passages(spark):
     rng = np.random.default_rng(5)
     fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**6, n)]
