@@ -163,6 +163,23 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_within_a_component(spark):
+    # a boilerplate passage joins all; an older version of a second passage is in document 0, too unlike
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**6, n)]
+    docs, want = [], {}
+    for group in range(6):
+        line, own = fresh(80), fresh(60)
+        old = own[:25] + fresh(1) + own[26:32] + fresh(1) + own[33:]
+        for k in range(4):
+            i = 10 * group + k
+            docs.append((i, " ".join(fresh(60) + line + fresh(60) + (old if k == 0 else own) + fresh(60))))
+            want[i] = 1 if k == 0 else 2
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert {i: r.n_passages for i, r in got.items()} == want
+    assert {i: r.component_id for i, r in got.items()} == {i: i - i % 10 for i in want}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(300, 8)).round(3)
