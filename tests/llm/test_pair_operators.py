@@ -217,6 +217,21 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixed(edge.limit(0), none).count() == 0
 
 
+def test_mixing_totals_are_the_targets(spark):
+    rng = np.random.default_rng(10)
+    for shares in ((0.0144, 0.6, 0.3, 0.0856), (0.9, 0.001, 0.069, 0.03)):
+        p = 0.97 * np.eye(4)[rng.choice(4, 4000, p=shares)] + 0.03 * rng.dirichlet(np.ones(4), 4000)
+        t = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(rng.integers(1, 900, 4000), p, strict=True)], "_n bigint, _p array<double>").cache()
+        past, step = mixing.fit_rates(t)
+        assert np.abs(np.array(mixing.totals(t, past, step)) - mixing.TARGETS).max() < 1e-6
+    sf = "/root/testdata/sf0.1"
+    t = mixing.posteriors(table(spark, sf, "documents").select("text"), mixing.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))).cache()
+    assert np.abs(np.array(mixing.totals(t, *mixing.fit_rates(t))) - mixing.TARGETS).max() < 1e-6
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    with pytest.warns(UserWarning, match="cannot be reached"):
+        mixing.mixed(spark.createDataFrame([(1, "one two")], "doc_id bigint, text string"), none)
+
+
 def test_pipeline(spark):
     corpus = pytest.importorskip("corpus_pipeline")
     out = corpus.run(spark, SF)
