@@ -3,7 +3,8 @@
 One pass over the documents, without a shuffle: each text is scanned for strong secrets by pattern,
 and for the parts of a split credential - an access identifier, a secret value, an endpoint. Parts of
 one scope are joined by interval: a weak part is reported only when the complementary parts it needs
-stand within ``reach`` characters of it in the same scope (a run of lines without a blank line).
+stand in the same scope (a run of lines without a blank line), with a gap under ``reach`` characters
+between the two if it is given.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,8 @@ VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-
 ENDPOINT = re.compile(r"(?:(?:https?|jdbc:\w+|amqps?|postgres(?:ql)?|mysql|redis|mongodb|s3)://[^\s\"'<>]+|\bhost(?:name)?[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,})", re.IGNORECASE | re.ASCII)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
-REACH = 400
+#: widest gap between linked parts; by default the scope alone bounds a link
+REACH = None
 
 Span = tuple[str, int, int]
 
@@ -49,8 +52,8 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], RANK[s[0]]))
 
 
-def linked_parts(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak parts whose complements lie within ``reach`` characters in the same scope.
+def linked_parts(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]:
+    """Weak parts whose complements lie in the same scope, less than ``reach`` characters apart.
 
     An identifier needs a secret near it; a value needs an identifier near it; an endpoint needs an
     identifier and a secret. Strong secrets count as secrets, strong access ids as identifiers.
@@ -76,14 +79,17 @@ def linked_parts(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
 def _index(parts: list[Span], cuts: list[int]):
     """A test for a part within reach in the scope of a span, other than the span itself."""
     starts = [s for _, s, _ in parts]
+    furthest = list(accumulate((e for _, _, e in parts), max))
 
-    def near(span: Span, reach: int) -> bool:
+    def near(span: Span, reach: int | None) -> bool:
         _, s, e = span
         k = bisect_right(cuts, s)
-        lo = max(s - reach, cuts[k - 1] if k else 0)
-        hi = min(e + reach, cuts[k] if k < len(cuts) else 1 << 62)
-        i, j = bisect_left(starts, lo), bisect_left(starts, hi)
-        return any(parts[x] != span for x in range(i, min(j, i + 2)))
+        lo, hi = cuts[k - 1] if k else -1, cuts[k] if k < len(cuts) else 1 << 62
+        if reach is not None:
+            lo, hi = max(s - reach, lo), min(e + reach, hi)
+        i, j = bisect_left(starts, s), bisect_left(starts, hi)
+        # a part before it in its scope ends beyond lo, or one starts from s on
+        return (i > 0 and furthest[i - 1] > lo) or any(parts[x] != span for x in range(i, min(j, i + 2)))
 
     return near
 
@@ -92,7 +98,7 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def scan_text(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span]]:
+def scan_text(text: str | None, reach: int | None = REACH) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans by start and kind."""
     if not text:
         return [], []
@@ -104,7 +110,7 @@ def scan_text(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Sp
 SCAN_SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_linked bigint"
 
 
-def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored).
 
     A null or empty text has no span, counts of 0 and the digest of the empty string; a null doc_id
@@ -130,7 +136,7 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 MASK = {k: f"<{k}>" for k in KINDS}
 
 
-def redact_text(text: str | None, reach: int = REACH) -> str | None:
+def redact_text(text: str | None, reach: int | None = REACH) -> str | None:
     """Replace every span by a mask of its kind; overlapping spans become one mask of the first."""
     if not text:
         return text
@@ -143,7 +149,7 @@ def redact_text(text: str | None, reach: int = REACH) -> str | None:
     return "".join(out) + text[at:] if out else text
 
 
-def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def redact(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """``docs`` with the spans of its texts masked; every row and column stays."""
     schema = docs.schema
 

@@ -46,6 +46,15 @@ def test_secret_parts_link_only_together():
     assert secrets.redact_text("a password=hunter22 b") == "a <assign> b"
 
 
+def test_secret_parts_link_across_long_secrets_and_comments():
+    long, tail = "token=" + "aB3" * 200, "\nuser=bob42\nhost=db.example.org"
+    for text in (long + tail, tail[1:] + "\n" + long, long + "\n# note" * 100 + tail):
+        assert sorted(k for k, _, _ in secrets.scan_text(text)[1]) == ["assign", "endpoint", "identifier"]
+        assert "bob42" not in secrets.redact_text(text)
+    assert [k for k, _, _ in secrets.scan_text(long + "\n" + tail)[1]] == ["assign"]
+    assert len(secrets.scan_text(long + tail, 400)[1]) == 3 and len(secrets.scan_text(long + "\n# note" * 100 + tail, 400)[1]) == 1
+
+
 def test_scans_edge_cases(spark, edge_docs):
     got = sorted((r.doc_id or 0, r.n_assign, r.n_access) for r in secrets.scan(edge_docs).collect())
     assert got == [(0, 0, 1), (1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (5, 0, 0), (6, 1, 0), (6, 1, 0)]
