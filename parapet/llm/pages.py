@@ -39,6 +39,13 @@ BOILERPLATE_WORDS = frozenset(
     "social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager skip toolbar search copyright "
     "complementary contentinfo dialog form".split()
 )
+#: never boilerplate by their class, id or role
+NEVER = frozenset(("html", "body", "main", "article"))
+#: an element marked by a whole name, or by a part of one, is dropped if it holds no more than this share
+#: of the page's running text; a wrapper of the content holds more
+WHOLE_SHARE, PART_SHARE = 0.8, 0.3
+#: share of a host's pages in which a constant text must stand at its place
+CONSTANT_SHARE = 0.9
 _WORD = re.compile(r"[a-z]+")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -48,21 +55,45 @@ _END_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 class Node:
     """A block element: its label, own text runs in order, child blocks, and where each run stands."""
 
-    __slots__ = ("children", "drop", "label", "path", "tag", "text")
+    __slots__ = ("children", "drop", "label", "path", "share", "tag", "text")
 
-    def __init__(self, tag: str, label: str, path: str, drop: bool):
-        self.tag, self.label, self.path, self.drop = tag, label, path, drop
+    def __init__(self, tag: str, label: str, path: str, drop: bool, share: float = 1.0):
+        self.tag, self.label, self.path, self.drop, self.share = tag, label, path, drop, share
         self.children: list[Node] = []
         self.text = ""
 
 
-def _names(attrs: str) -> list[str]:
-    out = []
+def _names(attrs: str) -> tuple[list[str], float]:
+    """Words of class, id and role, and the share of text up to which they mark boilerplate (1: none)."""
+    out, share = [], 1.0
     for m in _ATTR.finditer(attrs):
         if m[1].lower() == "hidden":
             continue
-        out += _WORD.findall((m[2] or m[3] or m[4] or "").lower())
-    return out
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            words = _WORD.findall(token)
+            out += words
+            if not BOILERPLATE_WORDS.isdisjoint(words):
+                whole = token in BOILERPLATE_WORDS
+                share = WHOLE_SHARE if whole or share == WHOLE_SHARE else PART_SHARE
+    return out, share
+
+
+def _drop_marked(root: Node) -> None:
+    """Mark for dropping what names call boilerplate and does not hold too much of the text."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(x.children)
+    size: dict[int, int] = {}
+    for x in reversed(order):
+        size[id(x)] = 0 if x.drop else len(x.text) + sum(size[id(c)] for c in x.children)
+    total = size[id(root)]
+    for x in order:
+        x.drop = x.drop or (x.share < 1 and size[id(x)] <= x.share * total)
+        if x.drop:
+            for c in x.children:
+                c.drop = True
 
 
 def parse(html: str | None) -> Node:
@@ -116,9 +147,9 @@ def parse(html: str | None) -> Node:
             end = _END_RAW[tag].search(html, at)
             at = end.end() if end else n
             continue
-        names = _names(m[3]) if m[3] else []
-        marked = tag in BOILERPLATE_TAGS or not BOILERPLATE_WORDS.isdisjoint(names)
-        if tag in INLINE and not marked:
+        names, share = _names(m[3]) if m[3] else ([], 1.0)
+        marked = tag in BOILERPLATE_TAGS
+        if tag in INLINE and not marked and share == 1:
             continue
         flush()
         if tag in CLOSES_P and stack[-1].tag == "p":
@@ -129,10 +160,14 @@ def parse(html: str | None) -> Node:
             continue
         top = stack[-1]
         label = ".".join([tag, *sorted(set(names))])
-        node = Node(tag, label, f"{top.path}/{label}", top.drop or (marked and not (tag == "header" and any(x.tag == "article" for x in stack))))
+        node = Node(tag, label, f"{top.path}/{label}", top.drop, 1.0 if tag in NEVER else share)
+        if tag == "header" and any(x.tag == "article" for x in stack):
+            marked, node.share = False, 1.0
+        node.drop = node.drop or marked
         top.children.append(node)
         stack.append(node)
     flush()
+    _drop_marked(root)
     return root
 
 
@@ -270,6 +305,44 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return chosen.groupBy("host").applyInArrow(learn, "host string, wrapper string")
 
 
+def counted(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (host, wrapper) with those constant texts only that stand at their place in
+    CONSTANT_SHARE of all pages of the host that have its content; counts are summed before the shuffle."""
+    keyed = pages.select(host().alias("host"), "html").filter("html is not null and html <> ''")
+    asked = written(found.filter("wrapper not like '%\"constant\": {}%'"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict] = {}
+        for b in batches:
+            seen: Counter[tuple[str, str | None, str | None]] = Counter()
+            for h, page, w in zip(*(b.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+                if w not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[w] = json.loads(w)
+                here = {(x.path, x.text) for x in leaves(parse(page)) if not x.drop and inside(x.path, known[w]["root"])}
+                if here:
+                    seen[h, None, None] += 1
+                    seen.update((h, p, t) for p, texts in known[w]["constant"].items() for t in set(texts) if (p, t) in here)
+            rows = [(*k, n) for k, n in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 3 else pa.string()) for i in range(4)], names=["host", "path", "text", "n"])
+
+    rows = keyed.join(asked, "host").select("host", "html", "wrapper").mapInArrow(run, "host string, path string, text string, n bigint")
+    rows = written(rows.groupBy("host", "path", "text").agg(F.sum("n").alias("n")))
+    of_host = rows.filter("path is null").select("host", F.col("n").alias("pages"))
+    kept = rows.filter("path is not null").join(of_host, "host").filter(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    kept = kept.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("kept"))
+
+    @F.udf("string")
+    def only(wrapper, kept):
+        constant: dict[str, list[str]] = {}
+        for p, t in sorted(kept or ()):
+            constant.setdefault(p, []).append(t)
+        return json.dumps({"root": json.loads(wrapper)["root"], "constant": constant})
+
+    return found.join(kept, "host", "left").select("host", only("wrapper", "kept").alias("wrapper"))
+
+
 def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of ``pages``.
 
@@ -277,7 +350,8 @@ def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     own; repeated rows give repeated results; other columns are ignored; no rows give no rows.
     """
     keyed = pages.select("page_id", "url", "html", host().alias("_host"))
-    joined = keyed.join(written(wrappers(pages, sample)).withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "wrapper")
+    learned = written(counted(pages, written(wrappers(pages, sample))))
+    joined = keyed.join(learned.withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}

@@ -137,3 +137,19 @@ def test_wrapper_drops_what_all_pages_share():
     assert pages.extract(htmls[0], w) == "\n".join(f"story 0 part {j}" for j in range(4))
     copies = ["<body><main><p>same</p><p>text</p></main><!-- %d --></body>" % i for i in range(5)]
     assert pages.extract(copies[0], pages.induce(copies)) == "same\ntext"
+
+
+def test_names_of_wrappers_keep_the_content(spark):
+    story = "<p>" + "a long story of many words " * 5 + "</p>"
+    for page in ("<body class='has-sidebar'>{}</body>", "<main class='no-comments'>{}</main>", "<article class='related-post'>{}</article>", "<div id='content-with-side-menu'>{}</div>", "<div class='social'>{}</div>"):
+        got = pages.extract(page.format(story + "<div class='site-footer'>contact</div><div class='ad'>buy</div>"), None)
+        assert got == ("a long story of many words " * 5).strip()
+    # a heading alike in the pages chosen for the wrapper is no template if other pages lack it
+    one = lambda i, head: (i, f"http://h.example/{i}", f"<main><h2>{head}</h2><h3>Weekly</h3>" + "".join(f"<p>story {i} part {j}</p>" for j in range(4)) + "</main>")
+    rows = [one(i, "Introduction" if i % 2 else f"On {i}") for i in range(60)]
+    made = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    wrapper = pages.json.dumps(pages.induce([rows[i][2] for i in range(1, 12, 2)]))
+    found = spark.createDataFrame([("h.example", wrapper)], "host string, wrapper string")
+    assert "Introduction" in wrapper and "Weekly" in wrapper
+    kept = pages.counted(made, found).first().wrapper
+    assert "Introduction" not in kept and "Weekly" in kept
