@@ -63,15 +63,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], c
     return langs, crf.train(crf.word_chars(raw, starts, ends), np.array(off), np.concatenate(labels), len(langs))
 
 
-def _predict(col: pa.Array, langs: list[str], model: crf.Model) -> tuple[list[str], list[float]]:
-    names, scores = [], []
+def _predict(col: pa.Array, langs: list[str], model: crf.Model) -> tuple[list[str], list[float], list[float]]:
+    """Best language, its share of the text, and the mean of each word's largest marginal."""
+    names, scores, sure = [], [], []
     for t in crf.tag(col, model):
         n = t.last - t.first
         weight = (t.ends - t.starts).astype(np.float32)  # long words say more than short ones
-        mass = np.zeros((n, len(langs)))
+        mass, certain = np.zeros((n, len(langs))), np.zeros(n)
         full = np.flatnonzero(np.diff(t.doc_off))
         if len(full):
             mass[full] = np.add.reduceat(t.marginals * weight[:, None], t.doc_off[:-1][full], axis=0)
+            certain[full] = np.add.reduceat(t.marginals.max(axis=1).astype(np.float64), t.doc_off[:-1][full]) / np.diff(t.doc_off)[full]
         total = mass.sum(axis=1)
         best = mass.argmax(axis=1)
         for i in range(n):
@@ -82,11 +84,12 @@ def _predict(col: pa.Array, langs: list[str], model: crf.Model) -> tuple[list[st
             else:
                 names.append(UNKNOWN)
                 scores.append(0.0)
-    return names, scores
+            sure.append(float(certain[i]))
+    return names, scores, sure
 
 
 def _columns(col: pa.Array, fitted: tuple[list[str], crf.Model] | None) -> tuple[pa.Array, pa.Array]:
-    names, scores = _predict(col, *fitted) if fitted else ([UNKNOWN] * len(col), [0.0] * len(col))
+    names, scores, _ = _predict(col, *fitted) if fitted else ([UNKNOWN] * len(col), [0.0] * len(col), None)
     return pa.array(names, pa.string()), pa.array(scores, pa.float64())
 
 
@@ -107,15 +110,16 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return map_batches(rows, fn, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """``docs`` without rows whose language is unknown or whose best language has less than
-    ``least_score`` of the text; the columns stay as they are."""
+def keep_known(docs: DataFrame, least_confidence: float = 0.5) -> DataFrame:
+    """``docs`` without rows whose language is unknown or whose words have less than ``least_confidence``
+    as the mean of their largest marginals; a text of several known languages stays. Without a labelled
+    row no language can be told and no row stays. The columns stay as they are."""
     fitted = fit(docs)
     if fitted is None:
         return docs.limit(0)
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = _predict(b.column("text"), *fitted)
-        return b.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        names, _, sure = _predict(b.column("text"), *fitted)
+        return b.filter(pa.array([x != UNKNOWN and c >= least_confidence for x, c in zip(names, sure, strict=True)], pa.bool_()))
 
     return map_batches(docs, fn, docs.schema)

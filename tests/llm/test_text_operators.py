@@ -100,6 +100,17 @@ def test_language_held_out(spark):
     assert right / n > 0.97
 
 
+def test_code_switched_documents_stay(spark):
+    base = {"aa": "kalo", "bb": "mirtu", "cc": "zhweg"}
+    word = lambda lang, i: f"{base[lang]}{chr(97 + i % 26)}{base[lang]}"
+    run = lambda lang, n: " ".join(word(lang, i) for i in range(n))
+    rows = [(i, run(lang, 60 + i % 20), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    rows.append((900, f"{run('aa', 40)} {run('bb', 35)} {run('cc', 25)}", None))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language.identify(docs).filter("doc_id = 900 and score < 0.5").count() == 1
+    assert language.keep_known(docs).filter("doc_id = 900").count() == 1
+
+
 def test_language_and_toxicity_edge_cases(spark, edge_docs):
     docs = edge_docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.identify(docs).collect()} == {"und"}
