@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import decontaminate, language, licenses, mixing, neardup, pages, passages, secrets, topk, toxicity
+from parapet.llm import decontaminate, language, licenses, merkle, mixing, neardup, pages, passages, secrets, topk, toxicity
+from parapet.llm import merkle_sql
 from parapet.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,8 @@ def op9(spark, sf_dir):
 @query("op10_main_text")
 def op10(spark, sf_dir):
     return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op13_merkle", merkle_sql.proofs())
+def op13(spark, sf_dir):
+    return merkle.proofs(table(spark, sf_dir, "documents")).drop("siblings")
