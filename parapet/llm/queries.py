@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import decontaminate, language, licenses, merkle, mixing, neardup, pages, passages, secrets, topk, toxicity
+from parapet.llm import bpe, decontaminate, language, licenses, merkle, mixing, neardup, pages, passages, secrets, topk, toxicity
 from parapet.llm import merkle_sql
 from parapet.llm.common import table
 
@@ -94,6 +94,13 @@ def op10(spark, sf_dir):
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+@query("op12_bpe")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op13_merkle", merkle_sql.proofs())
 def op13(spark, sf_dir):
     return merkle.proofs(table(spark, sf_dir, "documents")).drop("siblings")
