@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import bpe, decontaminate, language, licenses, merkle, mixing, neardup, pages, passages, secrets, topk, toxicity
+from parapet.llm import bpe, decontaminate, language, licenses, merkle, mixing, neardup, pages, passages, phrases, secrets, topk, toxicity
 from parapet.llm import merkle_sql
 from parapet.llm.common import table
 
@@ -94,6 +94,40 @@ def op10(spark, sf_dir):
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+@query(
+    "op11_phrases",
+    f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+place AS (SELECT lang, w, unnest(range(len(w))) AS i FROM words),
+f AS (
+  {" UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i + 1 : i + {k}], ' ') AS g, count(*) AS f FROM place WHERE i + {k} <= len(w) GROUP BY ALL HAVING count(*) >= 100" for k in range(1, 6))}),
+cand AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE k > 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[s.i + 1 : s.i + s.m], ' ') AS g, max(f) AS f
+  FROM cand, (SELECT m.range AS m, i.range AS i FROM range(2, 5) m, range(4) i) s
+  WHERE s.m < k AND s.i + s.m <= k GROUP BY ALL),
+kept AS (SELECT c.* FROM cand c LEFT JOIN inner_ i USING (lang, g) WHERE i.f IS NULL OR i.f < c.f),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, x.range AS cut, l.f AS l, r.f AS r, t.n,
+         CAST((1000::HUGEINT * c.f * t.n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM kept c, range(1, 5) x, total t, f l, f r
+  WHERE x.range < c.k AND t.lang = c.lang AND l.lang = c.lang AND r.lang = c.lang
+    AND l.g = array_to_string(c.w[1 : x.range], ' ') AND r.g = array_to_string(c.w[x.range + 1 :], ' ')),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, CAST(row_number() OVER w AS INTEGER) AS rank, g AS phrase, a, l, r, n, score FROM low
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, g) QUALIFY rank <= 2000
+""",
+)
+def op11(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_bpe")
 def op12(spark, sf_dir):
     import public_tokenizers
