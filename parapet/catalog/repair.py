@@ -8,6 +8,7 @@ from parapet.catalog.base import findings_sql, query, with_findings, with_model
 from parapet.catalog.checks import all_findings
 from parapet.functions import geometry as g
 from parapet.operators import checks as c
+from parapet.operators import redo
 from parapet.operators import repair as r
 from parapet.plans import repair as plan
 from parapet.session import cut_lineage
@@ -84,27 +85,51 @@ def m07(spark, sf_dir):
 
 def _projection_case(spark, sf_dir):
     """Violations of the projection rules, the base findings and the tables they came from."""
-    t, rules, base = _tables(spark, sf_dir), read_packs(spark), all_findings(spark, sf_dir)
+    t, rules = _tables(spark, sf_dir), read_packs(spark)
+    base = cut_lineage(all_findings(spark, sf_dir).select("model_id", "rule_id", "status", "finding_seq"))
     facts = c.build_facts(t)
     v = c.check(facts, rules, "projection_max").filter("status = 'violation'")
     return t, rules, base, v
 
 
-@query("H04_cap_candidates", "WITH f AS (" + findings_sql(["projection_max"]) + "), p AS (SELECT l_orderkey AS model_id, count(*) AS n FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1) SELECT model_id, rule_id, least(30 * any_value(p.n), 2000) AS n_kept FROM f JOIN p USING (model_id) WHERE status = 'violation' GROUP BY 1, 2")
+#: the operator's own limit, given here explicitly; the search has none
+_H04_CAP = 2000
+
+
+@query("H04_cap_candidates", f"WITH f AS ({findings_sql(['projection_max'])}), p AS (SELECT l_orderkey AS model_id, count(*) AS n FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1) SELECT model_id, rule_id, least(30 * any_value(p.n), {_H04_CAP}) AS n_kept FROM f JOIN p USING (model_id) WHERE status = 'violation' GROUP BY 1, 2")
 def h04(spark, sf_dir):
     t = _tables(spark, sf_dir)
     v = c.check(c.build_facts(t), read_packs(spark), "projection_max")
-    x = r.cap_candidates(r.edit_grid(v, t))
+    x = r.cap_candidates(r.edit_grid(v, t), _H04_CAP)
     return x.groupBy("model_id", "rule_id").agg(F.count("*").alias("n_kept"))
 
 
-# No SQL twin for the next three: they re-run the whole rule set per candidate; tests compare them
-# with a brute-force search on the golden models.
+def _all_kinds(spark, sf_dir):
+    """Tables, rules, all base findings and the violations among them, of every rule kind."""
+    base = cut_lineage(all_findings(spark, sf_dir))
+    return _tables(spark, sf_dir), read_packs(spark), base, base.filter("status = 'violation'")
+
+
+# No SQL twin for the searches over all rule kinds: they re-evaluate millions of edits. tests/test_redo.py
+# holds them against the whole rule set run on the edited tables.
 @query("M08_evaluate_candidates")
 def m08(spark, sf_dir):
-    t, rules, _, v = _projection_case(spark, sf_dir)
-    found, _ = plan.evaluate_candidates(cut_lineage(r.edit_grid(v, t)), t, rules)
-    return found.groupBy("rule_id", "status").agg(F.count("*").alias("n"))
+    t, rules, base, v = _all_kinds(spark, sf_dir)
+    return plan.reevaluated(t, base, v, rules).groupBy("op", "rule_id", "status").agg(F.count("*").alias("n"))
+
+
+@query("M09_accept_all_kinds")
+def m09_all(spark, sf_dir):
+    t, rules, base, v = _all_kinds(spark, sf_dir)
+    x = plan.search(t, base, v, rules)
+    return x.select("model_id", "rule_id", *redo.EDIT, "n_cleared", "area_lost_sqm")
+
+
+@query("H03_top_all_kinds")
+def h03_all(spark, sf_dir):
+    t, rules, base, v = _all_kinds(spark, sf_dir)
+    x = r.top_candidates(plan.search(t, base, v, rules))
+    return x.select("model_id", "rule_id", "rank", *redo.EDIT, "area_lost_sqm")
 
 
 _TRIM = """, pv AS (SELECT DISTINCT f.model_id, f.rule_id, r.max_m FROM findings f JOIN rules r USING (rule_id) WHERE r.kind = 'projection_max' AND f.status = 'violation'),
@@ -132,7 +157,7 @@ def h03(spark, sf_dir):
 
 @query("M16_solve")
 def m16(spark, sf_dir):
-    t, rules, base, v = _projection_case(spark, sf_dir)
+    t, rules, base, v = _all_kinds(spark, sf_dir)
     return plan.solve(t, base, v, rules)
 
 

@@ -496,8 +496,9 @@ _PAIR_COLS = ("authority", "rule_pack", "plot_area_sqm", "any_upper")
 
 
 def _items(facts: Facts, items: DataFrame, rules: DataFrame, kinds, extra=()) -> DataFrame:
-    head = _known(facts.light).select(*facts.keys, *_PAIR_COLS, *extra)
-    on = [k for k in facts.keys if k in items.columns]
+    head_keys = [k for k in facts.keys if k in facts.light.columns]
+    head = _known(facts.light).select(*head_keys, *_PAIR_COLS, *extra)
+    on = [k for k in head_keys if k in items.columns]
     return applicable(items.join(head, on), _live(rules, kinds))
 
 
@@ -565,8 +566,9 @@ def room_height_level(facts: Facts, rules: DataFrame) -> DataFrame:
         .agg(F.expr("min_by(struct(floor_pos, room_index, polygon), struct(floor_pos, room_index))").alias("first"))
         .withColumn("_fp", F.col("first.floor_pos"))
     )
-    heights = facts.floors.select(*facts.keys, F.col("floor_pos").alias("_fp"), "height_m")
-    x = firsts.join(heights, [*on, "_fp"])
+    floor_keys = [k for k in on if k in facts.floors.columns]
+    heights = facts.floors.select(*floor_keys, F.col("floor_pos").alias("_fp"), "height_m")
+    x = firsts.join(heights, [*floor_keys, "_fp"])
     x = _items(facts, x, rules, ["room_min_height"]).filter("rule_id = _rule")
     kw = dict(item=_ROOM_ITEM.format("first."), suffix=_floor_suffix())
     o = (

@@ -17,7 +17,6 @@ from parapet.session import cut_lineage
 # The search grid.
 STEPS = 30
 STEP_M = 0.1
-MAX_CANDIDATES = 2000
 STAIR_OFFSETS = (-0.3, -0.1, 0.1, 0.3)
 RELABEL_USES = ("bedroom", "living", "store", "other")
 # Keywords that route a violation to edit operations.
@@ -73,7 +72,8 @@ def _edit(df: DataFrame, rank: int, order: list[str], **cols: str) -> DataFrame:
 
 
 def edit_grid(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """M1: every candidate edit of every target, bounded before ``explode``.
+    """M1: every candidate edit of every target; steps that would collapse a wall or the basement are cut
+    off before ``explode``.
 
     ``cand_seq`` is unique per model and follows the enumeration order of each target.
     """
@@ -81,18 +81,24 @@ def edit_grid(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     t = cut_lineage(targets(violations))
     step = f"explode(sequence(1, {STEPS}))"
     delta = "k / 10D"
-    edges = tables["edges"].select("model_id", "edge_pos", "role")
+    edges = tables["edges"].select("model_id", "edge_pos", "role", F.expr(f"case when {_horizontal('line')} then 'y' else 'x' end").alias("axis"))
     floors = tables["floors"].select("model_id", "floor_pos", "level", F.expr(g.bounds("footprint")).alias("b"))
     first = floors.groupBy("model_id", "level").agg(F.min_by(F.struct("floor_pos", "b"), "floor_pos").alias("f"))
+    # steps before the outline collapses along the axis that the edge moves
+    stay = "{1}.{0}min + k / 10D < {1}.{0}max and {1}.{0}min < {1}.{0}max - k / 10D"
+    live = f"filter(sequence(1, {STEPS}), k -> case when axis = 'y' then {stay.format('y', 'b')} else {stay.format('x', 'b')} end)"
 
     # One wall, one floor: edges named by the violation, else all known ones.
     named = edges.join(t.filter("to_wall").select("model_id", "rule_id", "first_seq", "text"), "model_id").filter("role <> 'unknown'")
     any_named = named.groupBy("model_id", "rule_id").agg(F.bool_or(F.expr("contains(text, role)")).alias("any_named"))
     wall = named.join(any_named, ["model_id", "rule_id"]).filter("not any_named or contains(text, role)").drop("any_named")
-    wall = wall.join(first.selectExpr("model_id", "level", "f.floor_pos as floor_pos"), "model_id").select("*", F.expr(step).alias("k"))
+    wall = wall.join(first.selectExpr("model_id", "level", "f.floor_pos as floor_pos", "f.b as b"), "model_id").select("*", F.expr(f"explode({live})").alias("k"))
     parts = [_edit(wall, 1, ["edge_pos", "floor_pos", "k"], op="'shrink_wall'", floor_pos="floor_pos", level="level", edge="role", delta_m=delta)]
 
-    allw = t.filter("to_all_walls").join(edges.filter("role <> 'unknown'"), "model_id").select("*", F.expr(step).alias("k"))
+    # the narrowest floor along each axis bounds an edit of all floors
+    narrow = floors.groupBy("model_id").agg(*[F.min_by(F.struct(f"b.{a}min", f"b.{a}max"), F.expr(f"b.{a}max - b.{a}min")).alias(a) for a in "xy"])
+    narrow = narrow.selectExpr("model_id", "named_struct('xmin', x.xmin, 'xmax', x.xmax, 'ymin', y.ymin, 'ymax', y.ymax) as b")
+    allw = t.filter("to_all_walls").join(edges.filter("role <> 'unknown'"), "model_id").join(narrow, "model_id").select("*", F.expr(f"explode({live})").alias("k"))
     parts.append(_edit(allw, 2, ["edge_pos", "k"], op="'shrink_wall_all_floors'", edge="role", delta_m=delta))
 
     pr = tables["projections"].select("model_id", "pos")
@@ -118,18 +124,22 @@ def edit_grid(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("cand_order", F.expr(seq)).withColumn("cand_seq", F.expr("concat_ws(':', rule_id, cand_order)")).drop("ord")
 
 
-def cap_candidates(candidates: DataFrame, n: int = MAX_CANDIDATES) -> DataFrame:
-    """H4: the first ``n`` candidates of each target in enumeration order."""
+def cap_candidates(candidates: DataFrame, n: int) -> DataFrame:
+    """H4: the first ``n`` candidates of each target in enumeration order. The search itself has no cap."""
     x = running(candidates, ["model_id", "rule_id"], "cand_order", sums={"cand_rank": "1"}, block=1 << 26)
     return x.filter(F.col("cand_rank") <= n)
 
 
 # ---------------------------------------------------------------- single edits
 
+def _horizontal(line: str) -> str:
+    return f"(abs(element_at({line}, -1).x - {line}[0].x) >= abs(element_at({line}, -1).y - {line}[0].y))"
+
+
 def _moved_bounds(b: str, line: str, centre: str, d: str) -> str:
     """Bounds after pulling in the wall that faces an edge: a horizontal edge moves the y extent."""
     x0, y0, x1, y1 = f"{line}[0].x", f"{line}[0].y", f"element_at({line}, -1).x", f"element_at({line}, -1).y"
-    horizontal = f"(abs({x1} - {x0}) >= abs({y1} - {y0}))"
+    horizontal = _horizontal(line)
     top, right = f"(({y0} + {y1}) / 2D >= {centre}.y)", f"(({x0} + {x1}) / 2D >= {centre}.x)"
     return (
         f"named_struct('xmin', case when not {horizontal} and not {right} then {b}.xmin + {d} else {b}.xmin end,"
