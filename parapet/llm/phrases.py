@@ -80,19 +80,23 @@ def _pairs(r: Run) -> np.ndarray:
     return mix64(r.hashes * _PAIR + np.append(r.hashes[1:], np.uint64(0)))
 
 
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """The upper half of hashes, as counted: two rare ones that share it may pass together."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    s = (mix64(hashes) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+    s = (mix64(_keys(hashes).astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
     return ((bits[s >> 3] >> (s & 7)) & 1).astype(bool)
 
 
 def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, n = np.unique(hashes, return_counts=True)
-    return key.view(np.int64), n
+    return np.unique(_keys(hashes), return_counts=True)
 
 
 def _count_words(b: pa.RecordBatch) -> pa.RecordBatch:
     """Counts by hash, and by language where there is no hash."""
-    keys, counts, langs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], Counter()
+    keys, counts, langs = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], Counter()
     for r, names in _runs(b):
         k, n = _counted(r.hashes)
         keys.append(k)
@@ -103,7 +107,7 @@ def _count_words(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([None] * len(key) + list(langs), pa.string()),
-            pa.concat_arrays([pa.array(key), pa.nulls(len(langs), pa.int64())]),
+            pa.concat_arrays([pa.array(key), pa.nulls(len(langs), pa.int32())]),
             pa.array(np.concatenate([n, np.fromiter(langs.values(), np.int64, len(langs))])),
         ],
         names=["lang", "key", "n"],
@@ -112,7 +116,7 @@ def _count_words(b: pa.RecordBatch) -> pa.RecordBatch:
 
 def _count_pairs(words: np.ndarray) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for r, _ in _runs(b):
             ok = _holds(words, r.hashes)
             both = ok & np.append(ok[1:], False) & r.joined
@@ -168,11 +172,11 @@ def prepared(docs: DataFrame) -> DataFrame:
 def edges(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, n): all words of a language; (lang, k, gram, f): edges (k = LONGEST) and tails of runs."""
     docs = prepared(docs)
-    counts = map_batches(docs, _count_words, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs, _count_words, "lang string, key int, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts = written(counts.filter((F.col("n") >= least) | F.col("key").isNull()))
-    words = id_filter(counts.filter("key is not null").select("key"))
-    seen = map_batches(docs, _count_pairs(words), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = id_filter(seen.filter(F.col("n") >= least).select("key"))
+    words = id_filter(counts.filter("key is not null").select(F.col("key").cast("bigint")))
+    seen = map_batches(docs, _count_pairs(words), "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = id_filter(seen.filter(F.col("n") >= least).select(F.col("key").cast("bigint")))
     found = map_batches(docs, _count_edges(words, pairs), "lang string, k int, gram string, f bigint")
     return counts.filter("key is null").select("lang", "n"), written(found.groupBy("lang", "k", "gram").agg(F.sum("f").alias("f")))
 
