@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parapet.catalog.base import query, with_model
 from parapet.functions import geometry as g
+from parapet.functions import polygons
 from parapet.operators import gis
 from parapet.operators.hull import box_corners, hull
 from parapet.sources import derived as d
@@ -102,6 +103,42 @@ def d09(spark, sf_dir):
     return x.selectExpr("model_id", "pos", g.area("inner_ring") + " as area")
 
 
+# Rings that are not convex: every footprint without its upper right part, from 3/8 of its width on.
+_NOTCH = "x0 + 0.375::DOUBLE * (x1 - x0) AS xm, y0 + 0.5::DOUBLE * (y1 - y0) AS ym"
+_BENT = f"SELECT *, {_NOTCH} FROM floors JOIN plots USING (model_id)"
+
+
+def _bent(spark, sf_dir):
+    x = _with_plot(spark, sf_dir).withColumn("b", F.expr(g.bounds("footprint")))
+    x = x.selectExpr(*_KEY, "w", "l", "b", "b.xmin + 0.375D * (b.xmax - b.xmin) as xm", "b.ymin + 0.5D * (b.ymax - b.ymin) as ym")
+    pts = [("b.xmin", "b.ymin"), ("b.xmax", "b.ymin"), ("b.xmax", "ym"), ("xm", "ym"), ("xm", "b.ymax"), ("b.xmin", "b.ymax"), ("b.xmin", "b.ymin")]
+    return x.withColumn("ring", F.expr(f"array({', '.join(g.point(*p) for p in pts)})"))
+
+
+_LEG = "greatest({x1} - {x0}, 0) * greatest({y1} - {y0}, 0)"
+_BOX = dict(x0="greatest({0}, 1.5)", y0="greatest({1}, 3.0)", x1="least({2}, w - 1.5)", y1="least({3}, l - 3)")
+
+
+def _boxed(x0, y0, x1, y1):
+    return _LEG.format(**{k: v.format(x0, y0, x1, y1) for k, v in _BOX.items()})
+
+
+@query("D08_clip_bent", with_model(f"""SELECT model_id, floor_pos, CASE WHEN a > 1e-9 THEN a ELSE (x1 - x0) * (y1 - y0) - (x1 - xm) * (y1 - ym) END AS area
+FROM (SELECT *, {_boxed('x0', 'y0', 'x1', 'y1')} - {_boxed('xm', 'ym', 'x1', 'y1')} AS a FROM ({_BENT}))"""))
+def d08_bent(spark, sf_dir):
+    x = _bent(spark, sf_dir).withColumn("box", F.expr("named_struct('xmin', 1.5D, 'ymin', 3D, 'xmax', w - 1.5D, 'ymax', l - 3D)"))
+    x = polygons.clip_any(x, "ring", "box")
+    return x.selectExpr(*_KEY, g.area("ring") + " as area")
+
+
+@query("D09_inset_bent", with_model(f"""SELECT model_id, floor_pos, CASE WHEN a > 1e-9 THEN a END AS area FROM (
+  SELECT *, {_LEG.format(x0="(x0 + 1.5)", x1="(x1 - 1.5)", y0="(y0 + 1.5)", y1="(ym - 1.5)")} + {_LEG.format(x0="(x0 + 1.5)", x1="(xm - 1.5)", y0="(y0 + 1.5)", y1="(y1 - 1.5)")}
+    - {_LEG.format(x0="(x0 + 1.5)", x1="(xm - 1.5)", y0="(y0 + 1.5)", y1="(ym - 1.5)")} AS a FROM ({_BENT}))"""))
+def d09_bent(spark, sf_dir):
+    x = polygons.inset_any(_bent(spark, sf_dir), "ring", "1.5D", "inner_ring")
+    return x.selectExpr(*_KEY, g.area("inner_ring") + " as area")
+
+
 @query("D10_translate", with_model("SELECT model_id, floor_pos, x0 + 0.5 AS xmin, x0 + 0.5 >= 0 AND y0 - 0.25 >= 0 AND x1 + 0.5 <= w AND y1 - 0.25 <= l AS stays FROM floors JOIN plots USING (model_id)"))
 def d10(spark, sf_dir):
     x = _with_plot(spark, sf_dir).withColumn("moved", F.expr(g.translate("footprint", 0.5, -0.25)))

@@ -263,8 +263,8 @@ def _half_plane(acc: str, nx: str, ny: str, c: str) -> str:
 def clip_rect(ring: str, box: str) -> str:
     """Intersect a convex ring with a rectangle (struct<xmin,ymin,xmax,ymax>).
 
-    An empty or degenerate result, and any ring that is not convex (its clip could fall apart),
-    leaves the ring as it was.
+    An empty or degenerate result leaves the ring as it was; so does a ring that is not convex, which
+    :func:`parapet.functions.polygons.clip_any` clips.
     """
     b = "cb"
     x0, y0 = f"greatest({b}.xmin, {box}.xmin)", f"greatest({b}.ymin, {box}.ymin)"
@@ -284,7 +284,8 @@ def clip_rect(ring: str, box: str) -> str:
 
 
 def inset(ring: str, d: str) -> str:
-    """Mitred inward offset of a convex ring; NULL when it vanishes or is not convex."""
+    """Mitred inward offset of a convex ring; NULL when it vanishes or is not convex (see
+    :func:`parapet.functions.polygons.inset_any`)."""
     d = num(d)
     x0, y0, x1, y1 = f"(ib.xmin + {d})", f"(ib.ymin + {d})", f"(ib.xmax - {d})", f"(ib.ymax - {d})"
     turn = f"signum({signed_area(ring)})"

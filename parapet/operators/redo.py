@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parapet.functions import geometry as g
+from parapet.functions import polygons
 from parapet.operators import checks as c
 from parapet.operators.normalise import measure_floors, measure_rings, resolve_pack
 from parapet.session import cut_lineage
@@ -108,7 +109,8 @@ def changed_floors(edits: DataFrame, base: Base) -> DataFrame:
     x = one.drop("e_floor").unionByName(every).join(head, "model_id").withColumn("line", F.expr(f"case edge {arms} end"))
     wall = "op <> 'reduce_basement_footprint'"
     x = x.withColumn("nb", F.expr(f"case when {wall} then {_moved_bounds('b', 'line', 'centre', 'delta_m')} end"))
-    x = x.withColumn("new_fp", F.expr(f"case when {wall} then case when {_alive('nb')} then {g.rect_ring('nb.xmin', 'nb.ymin', 'nb.xmax', 'nb.ymax')} end else {g.inset('footprint', 'delta_m')} end"))
+    plain = f"case when {wall} then case when {_alive('nb')} then {g.rect_ring('nb.xmin', 'nb.ymin', 'nb.xmax', 'nb.ymax')} end else {g.inset('footprint', 'delta_m')} end"
+    x = polygons.inset_any(x, "footprint", "delta_m", "new_fp", when=f"not ({wall})", convex=plain)
     x = x.withColumn("nb", F.expr(f"case when {wall} then nb else {g.bounds('new_fp')} end"))
     area = f"case when {wall} then (nb.xmax - nb.xmin) * (nb.ymax - nb.ymin) else {g.area('new_fp')} end"
     return x.withColumn("new_area", F.expr(area)).drop("centre", "line", "edge", "delta_m")
@@ -179,7 +181,7 @@ def redo(edits: DataFrame, tables: dict[str, DataFrame], base: Base) -> tuple[Da
     parts.append(c.floor_level(replace(facts, floors=moved), rules))
     seen = base.rooms.filter(F.col("use").isin(*c.HABITABLE_USES, "stair"))
     inside = seen.join(moved.select(*KEYS, "floor_pos", F.col("b").alias("box")), ["model_id", "floor_pos"])
-    inside = inside.withColumn("polygon", F.expr(g.clip_rect("polygon", "box"))).drop("box")
+    inside = polygons.clip_any(inside, "polygon", "box").drop("box")
 
     label = edits.filter("op = 'reclassify_room'")
     room = ["model_id", "floor_pos", "room_index"]
@@ -196,7 +198,8 @@ def redo(edits: DataFrame, tables: dict[str, DataFrame], base: Base) -> tuple[Da
     parts.append(c.model_level(replace(facts, header=_edited_room_header(label, base)), rules, _USES))
 
     trim = edits.filter("op = 'trim_projection'").select(*KEYS, "pos", "delta_m")
-    trimmed = tables["projections"].join(trim, ["model_id", "pos"]).withColumn("polygon", F.expr(g.inset("polygon", "delta_m"))).drop("delta_m")
+    trimmed = tables["projections"].join(trim, ["model_id", "pos"])
+    trimmed = polygons.inset_any(trimmed, "polygon", "delta_m").drop("delta_m")
     left = measure_rings(trimmed.filter("polygon is not null"), "polygon")
     parts.append(c.projection_level(replace(facts, projections=left), rules))
     parts.append(c.model_level(replace(facts, header=_trimmed_header(trimmed, base)), rules, _PROJECTIONS))

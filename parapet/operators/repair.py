@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapet.functions import geometry as g
+from parapet.functions import polygons
 from parapet.operators.running import running
 from parapet.session import cut_lineage
 
@@ -173,7 +174,7 @@ def shrink_all(floors: DataFrame, edges: DataFrame, plots: DataFrame, delta: str
 
 def trim_projection(projections: DataFrame, delta: str) -> DataFrame:
     """M4: a projection that vanishes gets a NULL outline and is dropped from the model."""
-    return projections.withColumn("trimmed", F.expr(g.inset("polygon", delta)))
+    return polygons.inset_any(projections, "polygon", delta, "trimmed")
 
 
 def reclassify(rooms: DataFrame) -> DataFrame:
@@ -192,7 +193,8 @@ def shift_stair(rooms: DataFrame, plots: DataFrame) -> DataFrame:
 def reduce_basement(floors: DataFrame, delta: str) -> DataFrame:
     """M7: first floor at level -1; a vanished basement is no candidate."""
     f = floors.filter("level = -1").groupBy("model_id").agg(F.min_by(F.struct("floor_pos", "footprint"), "floor_pos").alias("f"))
-    return f.selectExpr("model_id", "f.floor_pos", "f.footprint", g.inset("f.footprint", delta) + " as reduced").filter("reduced is not null")
+    f = f.selectExpr("model_id", "f.floor_pos", "f.footprint")
+    return polygons.inset_any(f, "footprint", delta, "reduced").filter("reduced is not null")
 
 
 # ---------------------------------------------------------------- edited tables
@@ -209,13 +211,12 @@ def apply_edits(candidates: DataFrame, tables: dict[str, DataFrame]) -> dict[str
     fl = tables["floors"].withColumn("b", F.expr(g.bounds("footprint"))).join(short, "model_id")
     hit = "(op = 'shrink_wall' and floor_pos = e_floor) or op = 'shrink_wall_all_floors'"
     fl = fl.withColumn("nb", F.expr(f"case when {hit} then {_moved_bounds('b', 'edge_line', 'centre', 'delta_m')} end"))
-    fl = fl.withColumn(
-        "new_fp",
-        F.expr(
-            f"case when nb is not null then case when {_alive('nb')} then {g.rect_ring('nb.xmin', 'nb.ymin', 'nb.xmax', 'nb.ymax')} end"
-            f" when op = 'reduce_basement_footprint' and floor_pos = e_floor then {g.inset('footprint', 'delta_m')} else footprint end"
-        ),
+    dug = "(op = 'reduce_basement_footprint' and floor_pos = e_floor)"
+    plain = (
+        f"case when nb is not null then case when {_alive('nb')} then {g.rect_ring('nb.xmin', 'nb.ymin', 'nb.xmax', 'nb.ymax')} end"
+        f" when {dug} then {g.inset('footprint', 'delta_m')} else footprint end"
     )
+    fl = polygons.inset_any(fl, "footprint", "delta_m", "new_fp", when=dug, convex=plain)
     dead = fl.filter("new_fp is null and footprint is not null").select(*KEYS).distinct()
     floors = fl.select(*KEYS, "floor_pos", "level", "is_stilt", F.col("new_fp").alias("footprint"), "height_m", "footprint_is_upper_bound")
 
@@ -224,20 +225,21 @@ def apply_edits(candidates: DataFrame, tables: dict[str, DataFrame]) -> dict[str
     )
     rm = tables["rooms"].join(short.drop("edge_line", "centre", "delta_m", "e_level", "e_pos"), "model_id").join(changed, [*KEYS, "floor_pos"], "left")
     mine = "floor_pos = e_floor and room_index = e_room"
+    clipped = f"case when box is not null then {g.clip_rect('polygon', 'box')} else polygon end"
+    rm = polygons.clip_any(rm, "polygon", "box", "clipped", when="box is not null", convex=clipped)
     rooms = rm.select(
         *KEYS, "floor_pos", "level", "room_index",
         F.expr(f"case when op = 'reclassify_room' and {mine} then new_use else use end").alias("use"),
         F.expr(
             f"case when op = 'shift_stair' and {mine} then {g.translate('polygon', 'dx', 'dy')}"
-            f" when box is not null then {g.clip_rect('polygon', 'box')} else polygon end"
+            " else clipped end"
         ).alias("polygon"),
         "openings_area_sqm", "confidence",
     )
     pj = tables["projections"].join(short.select(*KEYS, "op", "e_pos", "delta_m"), "model_id")
-    # an outline whose inset is not known kills the candidate; only one that vanishes is dropped
-    stuck = pj.filter(f"op = 'trim_projection' and pos = e_pos and not coalesce({g.is_convex('polygon')}, true)").select(*KEYS)
-    dead = dead.union(stuck).distinct()
-    pj = pj.withColumn("polygon", F.expr(f"case when op = 'trim_projection' and pos = e_pos then {g.inset('polygon', 'delta_m')} else polygon end"))
+    trimmed = "(op = 'trim_projection' and pos = e_pos)"
+    plain = f"case when {trimmed} then {g.inset('polygon', 'delta_m')} else polygon end"
+    pj = polygons.inset_any(pj, "polygon", "delta_m", when=trimmed, convex=plain)
     projections = pj.filter("not (op = 'trim_projection' and pos = e_pos and polygon is null)").select(*KEYS, "pos", "type", "floor", "polygon")
     plots = tables["plots"].join(edit.select(*KEYS), "model_id").join(dead, list(KEYS), "left_anti")
     alive = plots.select(*KEYS)
