@@ -84,12 +84,14 @@ def m07(spark, sf_dir):
 
 
 def _projection_case(spark, sf_dir):
-    """Violations of the projection rules, the base findings and the tables they came from."""
+    """Violations of the depth rules, the base findings of the kinds that a trim can change, and the tables."""
     t, rules = _tables(spark, sf_dir), read_packs(spark)
-    base = cut_lineage(all_findings(spark, sf_dir).select("model_id", "rule_id", "status", "finding_seq"))
     facts = c.build_facts(t)
-    v = c.check(facts, rules, "projection_max").filter("status = 'violation'")
-    return t, rules, base, v
+    kinds = ("projection_max", "projection_width_fraction")
+    base = c.model_level(facts, rules, kinds).unionByName(c.projection_level(facts, rules, kinds))
+    base = cut_lineage(base.select("model_id", "rule_id", "status", "finding_seq", "title"))
+    depth = rules.filter("kind = 'projection_max'").select("rule_id").distinct()
+    return t, rules, base, base.filter("status = 'violation'").join(depth, "rule_id", "left_semi")
 
 
 #: the operator's own limit, given here explicitly; the search has none

@@ -173,40 +173,49 @@ def redo(edits: DataFrame, tables: dict[str, DataFrame], base: Base) -> tuple[Da
     An edit whose outline collapses is not in either.
     """
     rules, facts = base.rules, base.facts
-    changed = cut_lineage(changed_floors(edits, base))
-    dead = changed.filter("new_fp is null").select(*KEYS).distinct()
-    changed = changed.join(dead, list(KEYS), "left_anti")
-    parts = [c.model_level(replace(facts, header=_wall_header(changed, base)), rules, _OUTLINE)]
-    moved = changed.select(*KEYS, "floor_pos", "level", F.col("new_fp").alias("footprint"), F.col("nb").alias("b"))
-    parts.append(c.floor_level(replace(facts, floors=moved), rules))
-    seen = base.rooms.filter(F.col("use").isin(*c.HABITABLE_USES, "stair"))
-    inside = seen.join(moved.select(*KEYS, "floor_pos", F.col("b").alias("box")), ["model_id", "floor_pos"])
-    inside = polygons.clip_any(inside, "polygon", "box").drop("box")
-
-    label = edits.filter("op = 'reclassify_room'")
+    # at most six values: branches for edits that do not occur are left out of the plan
+    ops = {x.op for x in edits.select("op").distinct().collect()}
+    found, rooms = [], []
+    gone = lost = None
+    if ops & {*WALLS}:
+        changed = cut_lineage(changed_floors(edits, base))
+        gone = changed.filter("new_fp is null").select(*KEYS).distinct()
+        changed = changed.join(gone, list(KEYS), "left_anti")
+        lost = changed.groupBy(*KEYS).agg(F.abs(F.sum(F.col("area") - F.col("new_area"))).alias("area_lost_sqm"))
+        found.append(c.model_level(replace(facts, header=_wall_header(changed, base)), rules, _OUTLINE))
+        moved = changed.select(*KEYS, "floor_pos", "level", F.col("new_fp").alias("footprint"), F.col("nb").alias("b"))
+        found.append(c.floor_level(replace(facts, floors=moved), rules))
+        seen = base.rooms.filter(F.col("use").isin(*c.HABITABLE_USES, "stair"))
+        inside = seen.join(moved.select(*KEYS, "floor_pos", F.col("b").alias("box")), ["model_id", "floor_pos"])
+        rooms.append(polygons.clip_any(inside, "polygon", "box").drop("box"))
     room = ["model_id", "floor_pos", "room_index"]
-    relabelled = base.rooms.drop("use").join(label.select(*KEYS, "floor_pos", "room_index", F.col("new_use").alias("use")), room)
-    stairs = edits.filter("op = 'shift_stair'").select(*KEYS, "floor_pos", "room_index", "dx", "dy")
-    shifted = base.rooms.join(stairs, room).withColumn("polygon", F.expr(g.translate("polygon", "dx", "dy"))).drop("dx", "dy")
-    rooms = reduce(DataFrame.unionByName, [inside, relabelled, shifted])
-    parts.append(c.room_level(replace(facts, rooms=rooms), rules))
-
-    # the first room of a level may be another one after a relabelling
-    on_level = label.select(*KEYS, "level", F.struct("floor_pos", "room_index").alias("it"), "new_use").join(base.rooms.drop("confidence"), ["model_id", "level"])
-    on_level = on_level.withColumn("use", F.expr("case when it = struct(floor_pos, room_index) then new_use else use end")).drop("it", "new_use")
-    parts.append(c.room_height_level(replace(facts, rooms=on_level), rules))
-    parts.append(c.model_level(replace(facts, header=_edited_room_header(label, base)), rules, _USES))
-
-    trim = edits.filter("op = 'trim_projection'").select(*KEYS, "pos", "delta_m")
-    trimmed = tables["projections"].join(trim, ["model_id", "pos"])
-    trimmed = polygons.inset_any(trimmed, "polygon", "delta_m").drop("delta_m")
-    left = measure_rings(trimmed.filter("polygon is not null"), "polygon")
-    parts.append(c.projection_level(replace(facts, projections=left), rules))
-    parts.append(c.model_level(replace(facts, header=_trimmed_header(trimmed, base)), rules, _PROJECTIONS))
-
-    lost = changed.groupBy(*KEYS).agg(F.abs(F.sum(F.col("area") - F.col("new_area"))).alias("lost"))
-    live = edits.select(*KEYS).join(dead, list(KEYS), "left_anti").join(lost, list(KEYS), "left")
-    return reduce(DataFrame.unionByName, map(_short, parts)), live.select(*KEYS, F.coalesce("lost", F.lit(0.0)).alias("area_lost_sqm"))
+    if "reclassify_room" in ops:
+        label = edits.filter("op = 'reclassify_room'")
+        rooms.append(base.rooms.drop("use").join(label.select(*KEYS, "floor_pos", "room_index", F.col("new_use").alias("use")), room))
+        # the first room of a level may be another one after a relabelling
+        on_level = label.select(*KEYS, "level", F.struct("floor_pos", "room_index").alias("it"), "new_use").join(base.rooms.drop("confidence"), ["model_id", "level"])
+        on_level = on_level.withColumn("use", F.expr("case when it = struct(floor_pos, room_index) then new_use else use end")).drop("it", "new_use")
+        found.append(c.room_height_level(replace(facts, rooms=on_level), rules))
+        found.append(c.model_level(replace(facts, header=_edited_room_header(label, base)), rules, _USES))
+    if "shift_stair" in ops:
+        stairs = edits.filter("op = 'shift_stair'").select(*KEYS, "floor_pos", "room_index", "dx", "dy")
+        rooms.append(base.rooms.join(stairs, room).withColumn("polygon", F.expr(g.translate("polygon", "dx", "dy"))).drop("dx", "dy"))
+    if rooms:
+        found.append(c.room_level(replace(facts, rooms=reduce(DataFrame.unionByName, rooms)), rules))
+    if "trim_projection" in ops:
+        trim = edits.filter("op = 'trim_projection'").select(*KEYS, "pos", "delta_m")
+        trimmed = cut_lineage(polygons.inset_any(tables["projections"].join(trim, ["model_id", "pos"]), "polygon", "delta_m").drop("delta_m"))
+        found.append(c.projection_level(replace(facts, projections=measure_rings(trimmed.filter("polygon is not null"), "polygon")), rules))
+        found.append(c.model_level(replace(facts, header=_trimmed_header(trimmed, base)), rules, _PROJECTIONS))
+    live = edits.select(*KEYS)
+    if gone is None:
+        live = live.withColumn("area_lost_sqm", F.lit(0.0))
+    else:
+        live = live.join(gone, list(KEYS), "left_anti").join(lost, list(KEYS), "left").withColumn("area_lost_sqm", F.coalesce("area_lost_sqm", F.lit(0.0)))
+    if not found:
+        none = edits.select(*KEYS, F.lit("").alias("rule_id"), F.lit("").alias("status")).limit(0)
+        return none, live
+    return reduce(DataFrame.unionByName, map(_short, found)), live
 
 
 def spared(edits: DataFrame, base: Base) -> DataFrame:
