@@ -64,7 +64,8 @@ def linked_parts(text: str, base: list[Span], reach: int | None = REACH) -> list
     if not ids_all:
         return []
     taken = sorted((s, e) for _, s, e in base)
-    free = lambda s, e: not any(a < e and s < b for a, b in taken[max(0, bisect_left(taken, (s,)) - 2) : bisect_left(taken, (e,))])
+    furthest = list(accumulate((e for _, e in taken), max))
+    free = lambda s, e: not ((k := bisect_left(taken, (e,))) and furthest[k - 1] > s)
     values = [("value", m.start(), m.end()) for m in VALUE.finditer(text) if free(m.start(), m.end())]
     secrets = sorted([s for s in base if s[0] != "access"] + values, key=lambda s: s[1])
     if not secrets:
