@@ -47,6 +47,9 @@ _TABLE = bytes(((c + 32 if 65 <= c <= 90 else c) if ALNUM[c] else 32) for c in r
 _TAG = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\n]*)", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+#: in an expression an identifier is known or has a digit or a capital; other words are free text behind it
+_NAMED = re.compile(r"[A-Z0-9]")
+_NO_NAME = ("not",)
 
 
 def restriction(identifier: str) -> float:
@@ -56,6 +59,11 @@ def restriction(identifier: str) -> float:
     return RESTRICTION[max(known, key=len)] if known else UNKNOWN
 
 
+def _is_name(tok: str) -> bool:
+    low = tok.lower()
+    return low not in _NO_NAME and (any(low.startswith(k) for k in RESTRICTION) or _NAMED.search(tok) is not None)
+
+
 def postfix(expression: str) -> list[str]:
     """Shunting yard: operands and operators of a license expression in postfix order.
 
@@ -78,7 +86,7 @@ def postfix(expression: str) -> list[str]:
                 out.append(ops.pop())
             ops.append(low)
             operand = False
-        elif low not in _PRECEDENCE and tok not in "()" and not operand:
+        elif low not in _PRECEDENCE and tok not in "()" and not operand and _is_name(tok):
             out.append(tok)
             operand = True
         else:
@@ -128,7 +136,8 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
     line = b"".join([b" ", b" ".join(words), b" "]).decode("utf-8", "surrogatepass")
     places: list[int] = []
     base: set[str] = set()
-    other: set[str] = set()
+    noticed: set[str] = set()
+    named: set[str] = set()
     score, tagged = 0.0, False
     for end, (length, label, is_base) in automaton().iter(line):
         if label is None:
@@ -137,17 +146,17 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
             places.append(end - length)
             base.add(label)
         else:
-            other.add(label)
+            noticed.add(label)
     if tagged:
         for m in _TAG.finditer(text):
             if value := evaluate(m[1]):
-                other.update(value[0])
+                named.update(value[0])
                 score = max(score, value[1])
-    if not (places or other):
+    if not (places or noticed or named):
         return len(words), 0, None, None, "", "", 0.0
-    score = max([score, *(restriction(x) for x in base)] + ([restriction(x) for x in other] if not tagged else []))
+    score = max([score, *(restriction(x) for x in base | noticed)])
     first, last = (line.count(" ", 0, p) - 1 for p in (min(places), max(places))) if places else (None, None)
-    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | other)), score
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | noticed | named)), score
 
 
 SCAN_SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
