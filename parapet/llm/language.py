@@ -7,10 +7,9 @@ transitions learn how rarely a text switches. Documents are then read whole, in
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ WORDS_PER_DOC = 96
 RUN = 24
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], crf.Model] | None:
