@@ -185,7 +185,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def score(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans), one row for each row of ``docs`` (doc_id, text).
 
-    ``spans`` lists the toxic word runs as structs (start, end, p) in bytes of the UTF-8 text, end
+    ``spans`` lists the toxic word runs as structs (start, end, p) in code points of the text, end
     exclusive. A null or empty text is scored like any text without a toxic word. Without labels of
     both kinds every score is 0. A null doc_id counts as held out; repeated rows give repeated
     results; other columns are ignored; no rows give no rows.
@@ -212,6 +212,12 @@ def score(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_C
                     else:
                         own.append({"start": s, "end": e, "p": p})
                     last = (d, w)
+            raw, _ = text_buffers(col)
+            for own, lo, hi in zip(spans, offs[:-1], offs[1:], strict=True):
+                if own:
+                    # places in bytes become places in code points
+                    chars = np.concatenate([[0], np.cumsum((raw[lo:hi] & 0xC0) != 0x80)])
+                    own[:] = [{"start": int(chars[x["start"]]), "end": int(chars[x["end"]]), "p": x["p"]} for x in own]
         return pa.RecordBatch.from_arrays(
             [b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32()), pa.array(spans, span_type)],
             names=["doc_id", "held_out", "score", "predicted", "spans"],
