@@ -4,11 +4,12 @@ A classifier fitted on the labelled table gives every document a posterior over
 often it should be seen) is nonnegative, and the rates are fitted so that the expected tokens of each
 domain match the targets:
 
-    minimise  sum_k (sum_d r_d n_d p_dk / N - t_k)^2 + ridge * sum_d n_d (r_d - 1)^2 / N,   r >= 0
+    minimise  sum_k (sum_d r_d n_d p_dk / N - t_k)^2,   r >= 0,   from r_d = 1
 
-where the ridge only chooses among the rates that meet the targets. The best rates are r_d = max(0, 1 +
-p_d . l) for one number l_k a domain, found by Newton's method on the dual. A step needs one aggregate of a
-few numbers (totals and Gram matrix of the domains), so no table of rates is kept between the steps.
+by projected gradient: a step takes p_d . g from every rate and cuts it at 0, where g is the residual of the
+domains, preconditioned by their Gram matrix over the rates above 0. Without a cut one step meets the
+targets. A step needs one aggregate of a few numbers (totals and Gram matrix); the rate of a row follows from
+its posterior and the list of steps, so no table of rates is kept between them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ MOST_CHARS = 20_000
 BITS = 15
 #: weight of the overall rate of a word, in documents
 PRIOR_DOCS = 20.0
-RIDGE = 1e-9
+#: added to the Gram matrix, so that a domain without tokens can be solved for
+FLOOR = 1e-12
+#: shortest part of a step that is tried
+LEAST_STEP = 1e-3
 #: most aggregates, and the residual at which the fit ends
 STEPS = 100
 TOLERANCE = 1e-7
@@ -98,63 +102,57 @@ def posteriors(docs: DataFrame, model: Bayes | None) -> DataFrame:
     return map_batches(plain, fn, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_n bigint", "_p array<double>"]))
 
 
-def _rate(steps: list[tuple[float, ...]], step: float, ridge: float) -> Column:
-    """Rate after the given domain gradients: each step is pulled to 1, moved against them, cut at 0."""
+def _rate(steps: list[tuple[float, ...]]) -> Column:
+    """Rate after the given steps: each is taken from it along the posterior, and it is cut at 0."""
     if not steps:
         return F.lit(1.0)
     past = F.array(*[F.array(*[F.lit(float(g)) for g in s]) for s in steps])
     dot = lambda g: F.aggregate(F.zip_with("_p", g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.lit(step) * (dot(g) + F.lit(ridge) * (r - 1))))
+    return F.aggregate(past, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
-def _dual(table: DataFrame, by: np.ndarray, targets: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray] | None:
-    """Dual objective, gradient and Gram matrix of the rows with a rate, at the numbers ``by``. None
-    without tokens."""
-    k, p = len(targets), [F.col("_p")[j] for j in range(len(targets))]
-    rate = F.lit(1.0)
-    for j in range(k):
-        rate = rate + F.lit(float(by[j])) * p[j]
-    rows = table.select(F.col("_n").cast("double").alias("n"), F.greatest(F.lit(0.0), rate).alias("r"), *[p[j].alias(f"p{j}") for j in range(k)])
+def _moments(table: DataFrame, steps: list[tuple[float, ...]], k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Expected token shares of the domains after the steps, and their Gram matrix over the rows with a
+    rate. None without tokens."""
+    rows = table.select(F.col("_n").cast("double").alias("n"), _rate(steps).alias("r"), *[F.col("_p")[j].alias(f"p{j}") for j in range(k)])
     upper = [(i, j) for i in range(k) for j in range(i, k)]
-    got = rows.agg(F.sum("n"), F.sum(F.expr("n * r * r")), *[F.sum(F.expr(f"n * r * p{j}")) for j in range(k)], *[F.sum(F.expr(f"if(r > 0, n * p{i} * p{j}, 0D)")) for i, j in upper]).first()
+    got = rows.agg(F.sum("n"), *[F.sum(F.expr(f"n * r * p{j}")) for j in range(k)], *[F.sum(F.expr(f"if(r > 0, n * p{i} * p{j}, 0D)")) for i, j in upper]).first()
     if not got[0]:
         return None
     x = np.array(got[1:], float) / got[0]
     gram = np.zeros((k, k))
-    for (i, j), v in zip(upper, x[1 + k :], strict=True):
+    for (i, j), v in zip(upper, x[k:], strict=True):
         gram[i, j] = gram[j, i] = v
-    return x[0] / 2 - targets @ by + ridge / 2 * by @ by, x[1 : 1 + k] - targets + ridge * by, gram + ridge * np.eye(k)
+    return x[:k], gram
 
 
-def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, ridge: float = RIDGE, steps: int = STEPS) -> tuple[list[tuple[float, ...]], float]:
-    """Domain gradients (one step leads to the rates) and the step size, for a table of (_n, _p)."""
-    want, by = np.array(targets, float), np.zeros(len(targets))
-    now, used = _dual(table, by, want, ridge), 1
+def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, steps: int = STEPS) -> list[tuple[float, ...]]:
+    """Steps of the projected gradient for a table of (_n, _p), to a residual of TOLERANCE or ``steps``
+    aggregates. A step that does not lessen the residual is halved."""
+    want, past, part = np.array(targets, float), [], 1.0
+    now = _moments(table, past, len(want))
     if now is None:
-        return [], 1.0
-    while used < steps and np.abs(now[1]).max() > TOLERANCE:
-        move, part = -np.linalg.solve(now[2], now[1]), 1.0
-        # the dual is convex and smooth, so a short enough step descends
-        while used < steps:
-            new = _dual(table, by + part * move, want, ridge)
-            used += 1
-            if new[0] <= now[0] + 1e-4 * part * float(now[1] @ move) or np.abs(new[1]).max() <= TOLERANCE:
-                by, now = by + part * move, new
-                break
-            part /= 4
-    if np.abs(now[1]).max() > TOLERANCE:
-        warnings.warn(f"rates are not fitted after {steps} aggregates: residual {np.abs(now[1]).max():.2g}", stacklevel=2)
-    return [tuple((-by).tolist())], 1.0
-
-
-def totals(table: DataFrame, past: list[tuple[float, ...]], step: float, ridge: float = RIDGE) -> tuple[float, ...]:
+        return []
+    for _ in range(steps - 1):
+        off = now[0] - want
+        if np.abs(off).max() <= TOLERANCE or part < LEAST_STEP:
+            break
+        g = part * np.linalg.solve(now[1] + FLOOR * np.eye(len(want)), off)
+        new = _moments(table, [*past, tuple(g.tolist())], len(want))
+        if np.abs(new[0] - want).sum() < np.abs(off).sum():
+            past, now, part = [*past, tuple(g.tolist())], new, min(1.0, 2 * part)
+        else:
+            part /= 2
+    return past
+
+
+def totals(table: DataFrame, past: list[tuple[float, ...]], k: int = len(DOMAINS)) -> tuple[float, ...]:
     """Share of expected tokens of each domain under the fitted rates; nothing without tokens."""
-    k = len(past[0]) if past else 0
-    got = table.agg(F.sum("_n"), *[F.sum(_rate(past, step, ridge) * F.col("_n") * F.col("_p")[j]) for j in range(k)]).first()
-    return tuple(x / got[0] for x in got[1:]) if got[0] else ()
+    now = _moments(table, past, k)
+    return () if now is None else tuple(now[0].tolist())
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, ridge: float = RIDGE) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
     """The rows of ``docs`` with n_tokens, domain (the likeliest), rate and copies.
 
     ``copies`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate;
@@ -165,12 +163,14 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGE
     """
     made = ["n_tokens", "domain", "rate", "copies"]
     base = docs.drop(*made)
-    table = written(posteriors(base, fit(docs, labels)))
-    past, step = fit_rates(table.select("_n", "_p"), targets, ridge)
-    for d, got, want in zip(DOMAINS, totals(table, past, step, ridge), targets, strict=False):
+    # columns that are named like the two worked with are put aside and come back at the end
+    aside = {c: f"_own_{i}_{c}" for i, c in enumerate(base.columns) if c.lower() in ("_n", "_p")}
+    table = written(posteriors(base.withColumnsRenamed(aside), fit(docs, labels)))
+    past = fit_rates(table.select("_n", "_p"), targets)
+    for d, got, want in zip(DOMAINS, totals(table.select("_n", "_p"), past), targets, strict=False):
         if abs(got - want) > REACHED:
             warnings.warn(f"domain {d}: share {got:.4f} of the expected tokens, target {want} cannot be reached", stacklevel=2)
     best = F.array_position("_p", F.array_max("_p")).cast("int") - 1
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
-    out = table.withColumns({"n_tokens": F.col("_n"), "domain": F.array(*[F.lit(d) for d in DOMAINS])[best], "rate": _rate(past, step, ridge)})
-    return out.withColumn("copies", F.floor(F.col("rate") + unit).cast("bigint")).select(*base.columns, *made)
+    out = table.withColumns({"n_tokens": F.col("_n"), "domain": F.array(*[F.lit(d) for d in DOMAINS])[best], "rate": _rate(past)})
+    return out.withColumn("copies", F.floor(F.col("rate") + unit).cast("bigint")).select(*[F.col(aside.get(c, c)).alias(c) for c in base.columns], *made)

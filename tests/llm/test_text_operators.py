@@ -164,3 +164,36 @@ def test_names_of_wrappers_keep_the_content(spark):
     assert "Introduction" in wrapper and "Weekly" in wrapper
     kept = pages.counted(made, found).first().wrapper
     assert "Introduction" not in kept and "Weekly" in kept
+
+
+def test_a_value_inside_a_long_assignment_is_not_reported():
+    h = "0123456789abcdef01234567"
+    text = f"token={h}.{h}.{h}.{h}.Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8Z user=bob"
+    spans = secrets.scan_text(text)[1]
+    assert not [s for s in spans if s[0] == "value"]
+    assert [s for s in spans if s[0] == "identifier"]
+
+
+def test_notices_count_beside_tags_and_free_text_is_no_license():
+    assert licenses.scan_text("SPDX-License-Identifier: MIT\nAll rights reserved.")[6] == 1.0
+    assert licenses.scan_text("SPDX-License-Identifier:\nAll rights reserved.")[6] == 1.0
+    assert licenses.scan_text("SPDX-License-Identifier: GPL-2.0 or later at your option")[5] == "gpl-2.0"
+    assert licenses.scan_text("SPDX-License-Identifier: MIT AND NOT x")[5] == "mit"
+    assert licenses.scan_text("SPDX-License-Identifier: see the file")[5] == ""
+    assert licenses.scan_text("SPDX-License-Identifier: MIT OR Zlib")[5] == "mit,zlib"
+
+
+def test_numeric_signs_are_no_letters(spark):
+    docs = table(spark, SF, "documents")
+    odd = spark.createDataFrame([(-1, "½ ² ①", None), (-2, "12 __ ++", None)], "doc_id bigint, text string, lang string")
+    out = language.identify(docs.select(odd.columns).unionByName(odd)).filter("doc_id < 0").collect()
+    assert [x.lang_pred for x in out] == ["und", "und"]
+
+
+def test_toxic_spans_are_code_points(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), table(spark, "/root/testdata/sf0.01", "labels")
+    hit = toxicity.score(docs, labels).filter("size(spans) > 0").join(docs, "doc_id").first()
+    wide = spark.createDataFrame([(-1, "éé中 " + hit.text)], "doc_id bigint, text string")
+    out = toxicity.score(docs.unionByName(wide), labels).filter("doc_id = -1").first()
+    words = {hit.text[s.start : s.end] for s in hit.spans}
+    assert any(wide.first().text[s.start : s.end] in words for s in out.spans)
