@@ -124,7 +124,7 @@ def l08(spark, sf_dir):
 
 @query("C09_practice_join", "WITH f AS (" + findings_sql(["setback_formula"]) + f"), {rules_values()}, {_HIST} SELECT f.rule_id, count(DISTINCT f.model_id) AS n_models, any_value(h.n) AS n_cases FROM f JOIN (SELECT rule_id, count(*) AS n FROM hist WHERE compliant GROUP BY 1) h USING (rule_id) GROUP BY 1")
 def c09(spark, sf_dir):
-    f = c.check(c.build_facts(d.model_tables(spark, sf_dir)), read_packs(spark), "setback_formula")
+    f = c.check(c.build_facts(d.model_tables(spark, sf_dir), kinds=["setback_formula"]), read_packs(spark), "setback_formula")
     x = a.practice(f, history(spark, sf_dir))
     return x.groupBy("rule_id").agg(F.count("*").alias("n_models"), F.expr("max(cast(evidence['prior_cases'] as bigint))").alias("n_cases"))
 

@@ -45,14 +45,14 @@ def flat(findings: DataFrame, keys=("model_id",)) -> DataFrame:
 
 
 def all_findings(spark, sf_dir) -> DataFrame:
-    return evaluate(d.model_tables(spark, sf_dir), read_packs(spark))
+    return evaluate(d.model_tables(spark, sf_dir), read_packs(spark), materialise=True)
 
 
 for _name, _kind in CHECKS.items():
 
     @query(_name, findings_sql([_kind]))
     def _run(spark, sf_dir, kind=_kind):
-        facts = c.build_facts(d.model_tables(spark, sf_dir))
+        facts = c.build_facts(d.model_tables(spark, sf_dir), kinds=[kind])
         return flat(c.check(facts, read_packs(spark), kind))
 
 

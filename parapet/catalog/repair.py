@@ -86,10 +86,10 @@ def m07(spark, sf_dir):
 def _projection_case(spark, sf_dir):
     """Violations of the depth rules, the base findings of the kinds that a trim can change, and the tables."""
     t, rules = _tables(spark, sf_dir), read_packs(spark)
-    facts = c.build_facts(t)
     kinds = ("projection_max", "projection_width_fraction")
+    facts = c.build_facts(t, kinds=kinds)
     base = c.model_level(facts, rules, kinds).unionByName(c.projection_level(facts, rules, kinds))
-    base = cut_lineage(base.select("model_id", "rule_id", "status", "finding_seq", "title"))
+    base = cut_lineage(base)
     depth = rules.filter("kind = 'projection_max'").select("rule_id").distinct()
     return t, rules, base, base.filter("status = 'violation'").join(depth, "rule_id", "left_semi")
 
@@ -101,7 +101,7 @@ _H04_CAP = 2000
 @query("H04_cap_candidates", f"WITH f AS ({findings_sql(['projection_max'])}), p AS (SELECT l_orderkey AS model_id, count(*) AS n FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1) SELECT model_id, rule_id, least(30 * any_value(p.n), {_H04_CAP}) AS n_kept FROM f JOIN p USING (model_id) WHERE status = 'violation' GROUP BY 1, 2")
 def h04(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    v = c.check(c.build_facts(t), read_packs(spark), "projection_max")
+    v = c.check(c.build_facts(t, kinds=["projection_max"]), read_packs(spark), "projection_max")
     x = r.cap_candidates(r.edit_grid(v, t), _H04_CAP)
     return x.groupBy("model_id", "rule_id").agg(F.count("*").alias("n_kept"))
 
@@ -112,11 +112,12 @@ def _all_kinds(spark, sf_dir):
     return _tables(spark, sf_dir), read_packs(spark), base, base.filter("status = 'violation'")
 
 
-# No SQL twin for the searches over all rule kinds: they re-evaluate millions of edits. tests/test_redo.py
-# holds them against the whole rule set run on the edited tables.
+# No SQL twin for M08, M16 and the search over all rule kinds, which re-evaluates millions of edits:
+# tests/test_redo.py holds them against the whole rule set run on the edited tables.
 @query("M08_evaluate_candidates")
 def m08(spark, sf_dir):
-    t, rules, base, v = _all_kinds(spark, sf_dir)
+    # the depth rules: every step of every projection, also those that the search can rule out unseen
+    t, rules, base, v = _projection_case(spark, sf_dir)
     return plan.reevaluated(t, base, v, rules).groupBy("op", "rule_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -127,13 +128,6 @@ def m09_all(spark, sf_dir):
     return x.select("model_id", "rule_id", *redo.EDIT, "n_cleared", "area_lost_sqm")
 
 
-@query("H03_top_all_kinds")
-def h03_all(spark, sf_dir):
-    t, rules, base, v = _all_kinds(spark, sf_dir)
-    x = r.top_candidates(plan.search(t, base, v, rules))
-    return x.select("model_id", "rule_id", "rank", *redo.EDIT, "area_lost_sqm")
-
-
 _TRIM = """, pv AS (SELECT DISTINCT f.model_id, f.rule_id, r.max_m FROM findings f JOIN rules r USING (rule_id) WHERE r.kind = 'projection_max' AND f.status = 'violation'),
 cand AS (SELECT pv.*, p.pos, p.d, p.pw, CAST(k AS INT) AS k, k / 10::DOUBLE AS dm FROM pv JOIN projections p USING (model_id), range(1, 31) t(k)),
 after_ AS (SELECT c.*, q.pos AS qpos, CASE WHEN q.pos <> c.pos THEN q.d WHEN 2 + dm < (2 + q.pw) - dm AND 0 + dm < q.d - dm THEN (q.d - dm) - (0 + dm) END AS qd, CASE WHEN q.pos <> c.pos THEN q.pw WHEN 2 + dm < (2 + q.pw) - dm AND 0 + dm < q.d - dm THEN (2 + q.pw - dm) - (2 + dm) END AS qw
@@ -159,12 +153,12 @@ def h03(spark, sf_dir):
 
 @query("M16_solve")
 def m16(spark, sf_dir):
-    t, rules, base, v = _all_kinds(spark, sf_dir)
+    t, rules, base, v = _projection_case(spark, sf_dir)
     return plan.solve(t, base, v, rules)
 
 
 def _projection_findings(spark, sf_dir):
-    return c.check(c.build_facts(_tables(spark, sf_dir)), read_packs(spark), "projection_max")
+    return c.check(c.build_facts(_tables(spark, sf_dir), kinds=["projection_max"]), read_packs(spark), "projection_max")
 
 
 _WIDE = "(SELECT DISTINCT model_id, rule_id FROM f WHERE status = 'violation')"
@@ -173,7 +167,7 @@ _WIDE = "(SELECT DISTINCT model_id, rule_id FROM f WHERE status = 'violation')"
 @query("C16_no_regress", "WITH f AS (" + findings_sql(["projection_max", "courtyard_min_area"]) + "), b AS (SELECT DISTINCT model_id FROM f WHERE status = 'violation' AND rule_id LIKE '%courtyard%'), n AS (SELECT DISTINCT model_id FROM f WHERE status = 'violation' AND rule_id LIKE '%projection%') SELECT o_orderkey AS model_id, o_orderkey::VARCHAR AS cand_seq FROM orders WHERE o_orderkey NOT IN (SELECT model_id FROM n)")
 def c16(spark, sf_dir):
     # Candidates whose findings are the projection rules, against a base that violated courtyards only.
-    facts, rules = c.build_facts(_tables(spark, sf_dir)), read_packs(spark)
+    facts, rules = c.build_facts(_tables(spark, sf_dir), kinds=["projection_max", "courtyard_min_area"]), read_packs(spark)
     base = c.check(facts, rules, "courtyard_min_area")
     new = c.check(facts, rules, "projection_max").withColumn("cand_seq", F.col("model_id").cast("string"))
     cand = d.plots(spark, sf_dir).selectExpr("model_id", "cast(model_id as string) as cand_seq")
@@ -182,7 +176,7 @@ def c16(spark, sf_dir):
 
 @query("I02_rule_diff", "WITH f AS (" + findings_sql(["projection_max", "courtyard_min_area"]) + "), v AS (SELECT DISTINCT model_id, rule_id FROM f WHERE status = 'violation') SELECT model_id, coalesce(string_agg(rule_id, '|' ORDER BY rule_id) FILTER (WHERE rule_id LIKE '%courtyard%'), '') AS cleared, coalesce(string_agg(rule_id, '|' ORDER BY rule_id) FILTER (WHERE rule_id LIKE '%projection%'), '') AS regressed FROM v GROUP BY 1")
 def i02(spark, sf_dir):
-    facts, rules = c.build_facts(_tables(spark, sf_dir)), read_packs(spark)
+    facts, rules = c.build_facts(_tables(spark, sf_dir), kinds=["projection_max", "courtyard_min_area"]), read_packs(spark)
     base = r._violated(c.check(facts, rules, "courtyard_min_area"), ["model_id"])
     new = r._violated(c.check(facts, rules, "projection_max"), ["model_id"])
     return r.rule_diff(base, new).selectExpr("model_id", "array_join(cleared, '|') as cleared", "array_join(regressed, '|') as regressed")
@@ -208,7 +202,7 @@ def m11(spark, sf_dir):
 
 def _far(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return t, c.check(c.build_facts(t), read_packs(spark), "far_band").filter("status = 'violation'")
+    return t, c.check(c.build_facts(t, kinds=["far_band"]), read_packs(spark), "far_band").filter("status = 'violation'")
 
 
 @query("M12_remedy_far", "WITH f AS (" + findings_sql(["far_band"]) + ") SELECT f.model_id, f.rule_id, (observed_num - required_num) * (CAST(8 + o_orderkey % 13 AS DOUBLE) * CAST(15 + o_custkey % 17 AS DOUBLE)) AS excess_sqm FROM f JOIN orders ON o_orderkey = model_id WHERE status = 'violation'")

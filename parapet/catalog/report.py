@@ -117,7 +117,7 @@ def j01(spark, sf_dir):
 
 @query("J17_group_heading", "WITH f AS (" + findings_sql(["setback_formula"]) + ") SELECT model_id, rule_id, CASE WHEN count(DISTINCT title) > 1 THEN rtrim(regexp_replace(arg_min(title, finding_seq), '\\s*\\([^()]*\\)\\s*$', '')) ELSE arg_min(title, finding_seq) END AS heading FROM f GROUP BY 1, 2")
 def j17(spark, sf_dir):
-    f = c.check(c.build_facts(d.model_tables(spark, sf_dir)), read_packs(spark), "setback_formula")
+    f = c.check(c.build_facts(d.model_tables(spark, sf_dir), kinds=["setback_formula"]), read_packs(spark), "setback_formula")
     return r.issue_groups(f, issues_only=False).select("model_id", "rule_id", "heading")
 
 

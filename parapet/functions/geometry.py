@@ -108,6 +108,11 @@ def line_segments(ln: str) -> str:
     return f"transform(sequence(0, size({ln}) - 2), li -> named_struct('a', {ln}[li], 'b', {ln}[li + 1]))"
 
 
+def _one_sided(segs: str, ring: str, sign: int) -> str:
+    """Every vertex of a ring to the left (1) or right (-1) of every segment, or on it."""
+    return f"forall({segs}, ke -> forall({ring}, kv -> {sign} * {_cross('ke.a', 'ke.b', 'kv')} >= -{EPS}))"
+
+
 def is_convex(ring: str) -> str:
     s = segments(ring, "ki")
     left = f"forall({s}, ke -> forall({ring}, kv -> {_cross('ke.a', 'ke.b', 'kv')} >= -{EPS}))"
@@ -169,9 +174,12 @@ def within(a: str, b: str, a_bounds: str | None = None, b_bounds: str | None = N
     """Ring ``a`` inside ring ``b``, touching allowed. NULL if either ring is unusable."""
     ab, bb = a_bounds or bounds(a), b_bounds or bounds(b)
     in_box = f"({ab}.xmin >= {bb}.xmin and {ab}.ymin >= {bb}.ymin and {ab}.xmax <= {bb}.xmax and {ab}.ymax <= {bb}.ymax)"
+    # a convex outer ring: every vertex on the inner side of every edge
+    turned = f"transform(array({segments(b, 'ki')}), bs -> case when {_one_sided('bs', b, 1)} then {_one_sided('bs', a, 1)} when {_one_sided('bs', b, -1)} then {_one_sided('bs', a, -1)} end)[0]"
+    general = f"forall({segments(a, 'ai')}, asg -> {_segment_inside('asg', b)})"
     return (
         f"(case when {ring_ok(a)} and {ring_ok(b)} then case when not {in_box} then false when {is_rect(b, bb, b_area)} then true"
-        f" else forall({segments(a, 'ai')}, asg -> {_segment_inside('asg', b)}) end end)"
+        f" else coalesce({turned}, {general}) end end)"
     )
 
 

@@ -12,6 +12,7 @@ per-model sort.
 
 from __future__ import annotations
 
+import contextlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -173,28 +174,40 @@ def floor_facts(floors: DataFrame, keys, exclude_basement: bool = False) -> Data
         F.bool_or("footprint_is_upper_bound").alias("any_upper"),
         _pick_floor(F.col("level") == 0).alias("ground"),
         _pick_floor(F.col("level") < 0).alias("basement"),
-        *[F.min(f"dist_{r}").alias(f"setback_{r}") for r in ROLES],
+        *[F.min(f"dist_{r}").alias(f"setback_{r}") for r in ROLES if f"dist_{r}" in floors.columns],
     )
 
 
-def build_facts(tables: dict[str, DataFrame], keys=("model_id",), exclude_basement: bool = False) -> Facts:
-    """Facts of every model. With extra keys (``cand_seq``) ``plots`` must carry them too; tables
-    that lack them are joined on ``model_id``."""
+#: kinds decided from the facts row that read a part of it; the other parts are not joined for them
+NEEDS = {
+    "floors": {"containment", "site_coverage_slab", "far_band", "far_band_gap", "stilt_far_definitional", "setback_formula", "height_vs_road", "floor_min_height", "area_relation"},
+    "edges": {"setback_formula", "height_vs_road"},
+    "projections": {"projection_max", "projection_width_fraction"},
+    "courtyards": {"courtyard_min_area", "courtyard_min_width"},
+    "rooms": {"room_min_height", "light_ventilation_ratio", "staircase_min_width"},
+}
+
+
+def build_facts(tables: dict[str, DataFrame], keys=("model_id",), exclude_basement: bool = False, kinds=None) -> Facts:
+    """Facts of every model; with ``kinds`` only the parts that these checks read. With extra keys
+    (``cand_seq``) ``plots`` must carry them too; tables that lack them are joined on ``model_id``."""
     keys = list(keys)
     plots = tables["plots"]
-    base = plots.join(edge_by_role(tables["edges"]), "model_id", "left")
+    parts = {p for p, of in NEEDS.items() if kinds is None or of & {*kinds}}
+    base = plots.join(edge_by_role(tables["edges"]), "model_id", "left") if "edges" in parts else plots
 
     def on(df):
         return [k for k in keys if k in df.columns]
 
     measured = measure_floors(tables["floors"])
     fl = measured
-    edge_cols = [f"edge_{r}" for r in ROLES]
-    fl = fl.join(base.select(*on(fl), *edge_cols), on(fl), "inner")
-    lines = ", ".join(f"{c}.line" for c in edge_cols)
-    dists = f"transform(array({lines}), el -> {g.line_poly_dist('el', 'footprint', 'b', 'area')})"
-    fl = fl.select(*fl.columns[: -len(edge_cols)], F.expr(dists).alias("_dists"))
-    fl = fl.select("*", *[F.col("_dists")[i].alias(f"dist_{r}") for i, r in enumerate(ROLES)])
+    if "edges" in parts:
+        edge_cols = [f"edge_{r}" for r in ROLES]
+        fl = fl.join(base.select(*on(fl), *edge_cols), on(fl), "inner")
+        lines = ", ".join(f"{c}.line" for c in edge_cols)
+        dists = f"transform(array({lines}), el -> {g.line_poly_dist('el', 'footprint', 'b', 'area')})"
+        fl = fl.select(*fl.columns[: -len(edge_cols)], F.expr(dists).alias("_dists"))
+        fl = fl.select("*", *[F.col("_dists")[i].alias(f"dist_{r}") for i, r in enumerate(ROLES)])
     ff = floor_facts(fl, keys, exclude_basement)
 
     pr = measure_rings(tables["projections"], "polygon")
@@ -204,12 +217,11 @@ def build_facts(tables: dict[str, DataFrame], keys=("model_id",), exclude_baseme
     cf = co.groupBy(*on(co)).agg(F.count("*").alias("n_court"))
     rf = rooms.groupBy(*on(rooms)).agg(F.collect_set("use").alias("uses"))
 
-    header = (
-        base.join(ff, keys, "left")
-        .join(pf, on(pr), "left")
-        .join(cf, on(co), "left")
-        .join(rf, on(rooms), "left")
-    )
+    upper = tables["floors"].groupBy(*keys).agg(F.bool_or("footprint_is_upper_bound").alias("any_upper"))
+    header = base.join(ff if "floors" in parts else upper, keys, "left")
+    for part, counted, own in (("projections", pf, on(pr)), ("courtyards", cf, on(co)), ("rooms", rf, on(rooms))):
+        if part in parts:
+            header = header.join(counted, own, "left")
     defaults = {
         "n_floors": "0L", "n_usable": "0L", "covered_excl": "0D", "covered_incl": "0D", "has_stilt": "false", "any_upper": "false",
         "n_proj": "0L", "n_proj_ok": "0L", "n_court": "0L", "uses": "cast(array() as array<string>)",
@@ -218,7 +230,6 @@ def build_facts(tables: dict[str, DataFrame], keys=("model_id",), exclude_baseme
         *[f"coalesce({c}, {defaults[c]}) as {c}" if c in defaults else c for c in header.columns],
         g.mrr_short("plot_polygon") + " as site_width",
     )
-    upper = tables["floors"].groupBy(*keys).agg(F.bool_or("footprint_is_upper_bound").alias("any_upper"))
     light = (
         plots.join(upper, keys, "left")
         .withColumn("any_upper", F.coalesce("any_upper", F.lit(False)))
@@ -229,9 +240,27 @@ def build_facts(tables: dict[str, DataFrame], keys=("model_id",), exclude_baseme
 
 # ---------------------------------------------------------------- finding construction (SQL text)
 
+_status_only = False
+
+
+@contextlib.contextmanager
+def status_only():
+    """Plans built inside give findings whose texts, numbers and highlights are null: for searches that
+    read the status alone."""
+    global _status_only
+    before, _status_only = _status_only, True
+    try:
+        yield
+    finally:
+        _status_only = before
+
+
 def make(status, amb="null", obs="null", obs_txt="null", req="null", req_txt="null", geom="null", comp="false", lost="null", rem=("null", "null"), item="0", suffix="''") -> str:
     """The check-specific part of a finding, as a struct expression. ``rem`` is a one-off remedy
     (kind, text); a violation otherwise gets the rule's own remedies in :func:`finish`."""
+    if _status_only:
+        amb = obs = obs_txt = req = req_txt = geom = lost = "null"
+        comp, rem, suffix = "false", ("null", "null"), "''"
     return (
         f"named_struct('item', cast({item} as bigint), 'suffix', cast({suffix} as string), 'status', cast({status} as string),"
         f" 'amb', cast({amb} as string), 'obs', cast({obs} as double), 'obs_txt', cast({obs_txt} as string),"

@@ -28,6 +28,8 @@ _OUTLINE = ("site_coverage_slab", "far_band", "far_band_gap", "stilt_far_definit
 _ROOMS_OF_FLOOR = ("light_ventilation_ratio", "staircase_min_width")
 _USES = ("room_min_height", "light_ventilation_ratio", "staircase_min_width")
 _PROJECTIONS = ("projection_max", "projection_width_fraction")
+#: those of them whose findings can be violations
+VIOLABLE = tuple(k for k in _OUTLINE if k not in ("far_band_gap", "stilt_far_definitional"))
 #: edit -> (kinds of the facts row, kinds of items) it can change
 TOUCHES = {
     "shrink_wall": (_OUTLINE, ("containment", *_ROOMS_OF_FLOOR)),
@@ -37,6 +39,9 @@ TOUCHES = {
     "reclassify_room": (_USES, _USES),
     "shift_stair": ((), ("staircase_min_width",)),
 }
+#: kinds that a wall edit clears at its furthest step if it does at any: the new outline lies in the old
+#: one, so distances grow, areas shrink and what is inside stays inside
+MONOTONE = ("containment", "site_coverage_slab", "far_band", "setback_formula", "height_vs_road", "area_relation")
 WALLS = ("shrink_wall", "shrink_wall_all_floors", "reduce_basement_footprint")
 #: kinds whose violations come from items
 ITEM_KINDS = tuple(c.ITEM_LEVEL)
@@ -166,12 +171,18 @@ def _short(findings: DataFrame) -> DataFrame:
     return findings.select(*KEYS, "rule_id", "status")
 
 
-def redo(edits: DataFrame, tables: dict[str, DataFrame], base: Base) -> tuple[DataFrame, DataFrame]:
+def redo(edits: DataFrame, tables: dict[str, DataFrame], base: Base, outline=_OUTLINE) -> tuple[DataFrame, DataFrame]:
     """M8: (model_id, edit_id, rule_id, status) of every finding that an edit can change, re-evaluated; and
     (model_id, edit_id, area_lost_sqm) of the edits that live. ``edits`` has KEYS and EDIT, each edit once.
 
-    An edit whose outline collapses is not in either.
+    An edit whose outline collapses is not in either. ``outline`` are the kinds of the facts row evaluated
+    for wall edits.
     """
+    with c.status_only():
+        return _redo(edits, tables, base, outline)
+
+
+def _redo(edits: DataFrame, tables: dict[str, DataFrame], base: Base, outline) -> tuple[DataFrame, DataFrame]:
     rules, facts = base.rules, base.facts
     # at most six values: branches for edits that do not occur are left out of the plan
     ops = {x.op for x in edits.select("op").distinct().collect()}
@@ -182,7 +193,7 @@ def redo(edits: DataFrame, tables: dict[str, DataFrame], base: Base) -> tuple[Da
         gone = changed.filter("new_fp is null").select(*KEYS).distinct()
         changed = changed.join(gone, list(KEYS), "left_anti")
         lost = changed.groupBy(*KEYS).agg(F.abs(F.sum(F.col("area") - F.col("new_area"))).alias("area_lost_sqm"))
-        found.append(c.model_level(replace(facts, header=_wall_header(changed, base)), rules, _OUTLINE))
+        found.append(c.model_level(replace(facts, header=_wall_header(changed, base)), rules, outline))
         moved = changed.select(*KEYS, "floor_pos", "level", F.col("new_fp").alias("footprint"), F.col("nb").alias("b"))
         found.append(c.floor_level(replace(facts, floors=moved), rules))
         seen = base.rooms.filter(F.col("use").isin(*c.HABITABLE_USES, "stair"))
@@ -249,6 +260,24 @@ def clearable(candidates: DataFrame, base: Base) -> DataFrame:
     return per_row.unionByName(items).drop("n_base", "kind")
 
 
+def hopeful(candidates: DataFrame, furthest: DataFrame, tables: dict[str, DataFrame], base: Base) -> DataFrame:
+    """Candidates without the wall edits that do not clear their rule even at the furthest step.
+
+    ``furthest`` are the wall edits at their last steps; only those are evaluated here. Rules of other
+    than ``MONOTONE`` kinds keep all their candidates.
+    """
+    line = ["model_id", "rule_id", "op", "edge", F.coalesce("floor_pos", F.lit(-1)).alias("at")]
+    far = cut_lineage(clearable(furthest, base))
+    found, _ = redo(cut_lineage(far.select(*KEYS, *EDIT).distinct()), tables, base, VIOLABLE)
+    now = found.filter("status = 'violation'").select(*KEYS, "rule_id").distinct()
+    lines = cut_lineage(far.join(now, [*KEYS, "rule_id"], "left_anti").select(*line))
+    kinds = base.rules.select("rule_id", "kind").distinct()
+    x = candidates.join(kinds, "rule_id").withColumn("at", F.coalesce("floor_pos", F.lit(-1)))
+    walls = f"op in ('shrink_wall', 'shrink_wall_all_floors') and kind in ({', '.join(repr(k) for k in MONOTONE)})"
+    kept = x.filter(walls).join(lines, ["model_id", "rule_id", "op", "edge", "at"], "left_semi")
+    return kept.unionByName(x.filter(f"not ({walls})")).select(candidates.columns)
+
+
 def accepted(candidates: DataFrame, found: DataFrame, live: DataFrame, base: Base) -> DataFrame:
     """M9: of ``clearable`` candidates those whose rule is not violated in ``found`` and whose edit violates
     nothing new; with area lost and ``n_cleared``, the number of base violations cleared."""

@@ -7,6 +7,8 @@ is one more job, not a loop. Only models with a violation enter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,9 +74,9 @@ def _edit(df: DataFrame, rank: int, order: list[str], **cols: str) -> DataFrame:
     )
 
 
-def edit_grid(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def edit_grid(violations: DataFrame, tables: dict[str, DataFrame], furthest: bool = False) -> DataFrame:
     """M1: every candidate edit of every target; steps that would collapse a wall or the basement are cut
-    off before ``explode``.
+    off before ``explode``. With ``furthest`` only the wall edits, each at its last step.
 
     ``cand_seq`` is unique per model and follows the enumeration order of each target.
     """
@@ -88,6 +90,8 @@ def edit_grid(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     # steps before the outline collapses along the axis that the edge moves
     stay = "{1}.{0}min + k / 10D < {1}.{0}max and {1}.{0}min < {1}.{0}max - k / 10D"
     live = f"filter(sequence(1, {STEPS}), k -> case when axis = 'y' then {stay.format('y', 'b')} else {stay.format('x', 'b')} end)"
+    if furthest:
+        live = f"slice({live}, -1, 1)"
 
     # One wall, one floor: edges named by the violation, else all known ones.
     named = edges.join(t.filter("to_wall").select("model_id", "rule_id", "first_seq", "text"), "model_id").filter("role <> 'unknown'")
@@ -102,6 +106,9 @@ def edit_grid(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     allw = t.filter("to_all_walls").join(edges.filter("role <> 'unknown'"), "model_id").join(narrow, "model_id").select("*", F.expr(f"explode({live})").alias("k"))
     parts.append(_edit(allw, 2, ["edge_pos", "k"], op="'shrink_wall_all_floors'", edge="role", delta_m=delta))
 
+    if furthest:
+        return _numbered(parts)
+
     pr = tables["projections"].select("model_id", "pos")
     trim = t.filter("to_projection").join(pr, "model_id").select("*", F.expr(step).alias("k"))
     parts.append(_edit(trim, 3, ["pos", "k"], op="'trim_projection'", pos="pos", delta_m=delta))
@@ -117,9 +124,11 @@ def edit_grid(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     parts.append(_edit(rel, 5, ["floor_pos", "room_index", "k"], op="'reclassify_room'", floor_pos="floor_pos", level="level", room_index="room_index", new_use="new_use"))
 
     parts.append(_edit(shift_stair(rooms, tables["plots"]), 5, ["floor_pos", "room_index", "k"], op="'shift_stair'", floor_pos="floor_pos", level="level", room_index="room_index", dx="dx", dy="dy"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return _numbered(parts)
+
+
+def _numbered(parts: list[DataFrame]) -> DataFrame:
+    out = reduce(DataFrame.unionByName, parts)
     # 11+11+9 bits of step orders keep the sequence unique and ordered; positions are list positions.
     seq = "(((ord.a * 4194304L + ord.o0) * 4194304L + ord.o1) * 64L + ord.o2)"
     return out.withColumn("cand_order", F.expr(seq)).withColumn("cand_seq", F.expr("concat_ws(':', rule_id, cand_order)")).drop("ord")
@@ -158,8 +167,10 @@ def shrink_wall(floors: DataFrame, edges: DataFrame, plots: DataFrame, delta: st
     """M2: every floor x known edge at ``delta``; a collapsed outline is dropped."""
     c = plots.select("model_id", F.expr(g.centroid("plot_polygon")).alias("centre"))
     x = floors.join(edges.filter("role <> 'unknown'").select("model_id", "edge_pos", "role", "line"), "model_id").join(c, "model_id")
-    x = x.withColumn("b", F.expr(g.bounds("footprint"))).withColumn("nb", F.expr(_moved_bounds("b", "line", "centre", delta)))
-    return x.filter(_alive("nb")).drop("centre", "line")
+    x = x.withColumn("b", F.expr(g.bounds("footprint")))
+    # an array of at most one: a filter would paste the moved bounds into each of its four comparisons
+    kept = f"explode(filter(array({_moved_bounds('b', 'line', 'centre', delta)}), n -> {_alive('n')}))"
+    return x.select("*", F.expr(kept).alias("nb")).drop("centre", "line")
 
 
 def shrink_all(floors: DataFrame, edges: DataFrame, plots: DataFrame, delta: str) -> DataFrame:
