@@ -86,12 +86,14 @@ def h02(spark, sf_dir):
     return r.order_findings(all_findings(spark, sf_dir)).select("model_id", "finding_seq", "rule_id", "status_rank")
 
 
-@query("G12_distinct_remedies", with_findings("""
-SELECT f.model_id, f.rule_id, 'Possible remedy for ' || f.rule_id || '; not re-checked.' AS description, any_value(r.rem_kinds[1]) AS kind, min(f.finding_seq) AS first_seq
-FROM findings f JOIN rules r USING (rule_id) WHERE f.status <> 'pass' AND f.n_remedies > 0 AND r.kind <> 'far_band_gap' AND NOT (r.kind = 'containment' AND f.status = 'unknown') GROUP BY 1, 2
-UNION ALL SELECT f.model_id, f.rule_id, 'The amended text states no cap for this band and the earlier cap is superseded; cite both clauses.', 'zoning_revision_request', min(f.finding_seq) FROM findings f JOIN rules r USING (rule_id) WHERE r.kind = 'far_band_gap' GROUP BY 1, 2
-UNION ALL SELECT f.model_id, f.rule_id, 'No zoning plan is traced for this plot, so containment stays undecided.', 'zoning_revision_request', min(f.finding_seq) FROM findings f JOIN rules r USING (rule_id) WHERE r.kind = 'containment' AND f.status = 'unknown' AND f.n_remedies > 0 GROUP BY 1, 2
-UNION ALL SELECT model_id, rule_id, 'Settle which authority governs the plot; no rule of this pack was evaluated.', 'zoning_revision_request', finding_seq FROM findings WHERE rule_id LIKE '%.jurisdiction.unknown'"""))
+@query("G12_distinct_remedies", with_findings(""", fm AS MATERIALIZED (
+  SELECT f.model_id, f.rule_id, f.finding_seq, f.status, f.n_remedies, r.kind, r.rem_kinds[1] AS kind1 FROM findings f LEFT JOIN rules r USING (rule_id)
+  WHERE f.status <> 'pass' AND (f.n_remedies > 0 OR r.kind = 'far_band_gap'))
+SELECT f.model_id, f.rule_id, 'Possible remedy for ' || f.rule_id || '; not re-checked.' AS description, any_value(f.kind1) AS kind, min(f.finding_seq) AS first_seq
+FROM fm f WHERE f.n_remedies > 0 AND f.kind <> 'far_band_gap' AND NOT (f.kind = 'containment' AND f.status = 'unknown') GROUP BY 1, 2
+UNION ALL SELECT f.model_id, f.rule_id, 'The amended text states no cap for this band and the earlier cap is superseded; cite both clauses.', 'zoning_revision_request', min(f.finding_seq) FROM fm f WHERE f.kind = 'far_band_gap' GROUP BY 1, 2
+UNION ALL SELECT f.model_id, f.rule_id, 'No zoning plan is traced for this plot, so containment stays undecided.', 'zoning_revision_request', min(f.finding_seq) FROM fm f WHERE f.kind = 'containment' AND f.status = 'unknown' AND f.n_remedies > 0 GROUP BY 1, 2
+UNION ALL SELECT model_id, rule_id, 'Settle which authority governs the plot; no rule of this pack was evaluated.', 'zoning_revision_request', finding_seq FROM fm WHERE rule_id LIKE '%.jurisdiction.unknown'"""))
 def g12(spark, sf_dir):
     return r.distinct_remedies(all_findings(spark, sf_dir))
 
