@@ -62,6 +62,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later plan reads; results that came from them are
+    written tables themselves, so a lost executor never asks for them again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("table-"):
+                path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: bits of an id filter: two megabytes whatever the number of ids. With very many ids it lets more rows
 #: through, up to all; it never loses one.
 ID_BITS = 24
@@ -84,6 +94,12 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def in_filter(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the unsigned ids may be in the filter."""
+    s = (mix64(ids) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+    return ((bits[s >> 3] >> (s & 7)) & 1).astype(bool)
+
+
 def maybe_in(df: DataFrame, bits: np.ndarray, wanted: bool = True) -> DataFrame:
     """Rows of ``df`` whose doc_id is in the filter (or, if not ``wanted``, is surely not one of its ids).
     Spares the shuffle of the other rows' texts before a join on few ids."""

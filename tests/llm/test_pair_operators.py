@@ -1,6 +1,7 @@
 """Near-duplicates, passages, leaks, top-k and mixing against brute force on small cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,42 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_against_every_pair(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    shared, line = [fresh(int(n)) for n in (60, 90, 140)], fresh(25)
+    docs = []
+    for i in range(45):
+        parts = [fresh(int(rng.integers(0, 120))), line if i % 2 else []]
+        for p in shared:
+            if rng.random() < 0.35:
+                q = list(p)
+                if rng.random() < 0.5:
+                    q[int(rng.integers(0, len(q)))] = "edited"
+                parts += [q, fresh(int(rng.integers(0, 60)))]
+        docs.append((i, " ".join(x for p in parts for x in p)))
+    own = list(passages._shingles(pa.array([t for _, t in docs])))
+    pairs = {(i, j) for i in range(45) for j in range(i + 1, 45) if passages.passages_of(own[i], own[j])}
+    comp = list(range(45))
+    for _ in comp:
+        for i, j in pairs:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: comp[i] for p in pairs for i in p}
+
+
+def test_pairs_of_windows_share_a_stretch_with_both_tokens():
+    rng = np.random.default_rng(12)
+    text = " ".join(map(str, rng.integers(0, 60, 400)))
+    for x, _, _ in passages._slices(pa.array([text, None, "", text])):
+        _, _, w = passages._windows(x)
+        got = {(min(i, j), max(i, j)) for a, b in passages._overlaps(w) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        low, high = np.maximum(w[:, None, 0], w[None, :, 0]), np.minimum(w[:, None, 2], w[None, :, 2])
+        tokens = np.minimum(w[:, None, 1], w[None, :, 1]), np.maximum(w[:, None, 1], w[None, :, 1])
+        ok = (high - low + 1 >= passages.LEAST) & (tokens[0] >= low) & (tokens[1] <= high)
+        assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True)}
+
+
 def test_passages_within_a_component(spark):
     # a boilerplate passage joins all; an older version of a second passage is in document 0, too unlike
     rng = np.random.default_rng(9)
