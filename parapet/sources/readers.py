@@ -12,7 +12,15 @@ from parapet.functions import geometry as g
 def read_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A1: building documents -> (models, rejected). A body that does not parse is rejected with its
     text, never repaired; the contract itself is checked by ``normalise.validate``."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+    return parse_models(_bodies(spark, path))
+
+
+def _bodies(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
+
+
+def parse_models(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A1: the parse step over ``raw`` (file, body). A null or empty body is rejected."""
     p = raw.withColumn("m", F.from_json("body", S.MODEL_JSON + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("m").isNull() | F.col("m._corrupt_record").isNotNull()
     models = p.filter(~bad).select("file", "m.*").drop("_corrupt_record").withColumn("model_id", F.coalesce("model_id", F.xxhash64("file")))
@@ -21,19 +29,34 @@ def read_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_clauses(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines."""
-    return spark.read.schema(S.CLAUSE).json(path)
+    return parse_clauses(spark.read.text(path))
+
+
+def parse_clauses(raw: DataFrame) -> DataFrame:
+    """One clause for each JSON line of ``raw`` (value); blank lines give none."""
+    return raw.filter("trim(value) <> ''").select(F.from_json("value", S.CLAUSE).alias("c")).select("c.*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, the id standing in for a missing title."""
-    m = spark.read.schema(S.MANIFEST_JSON).option("multiLine", True).json(path)
-    return m.select(F.explode("documents").alias("d")).select("d.*").withColumn("title", F.coalesce("title", "doc_id"))
+    return parse_manifest(_bodies(spark, path))
+
+
+def parse_manifest(raw: DataFrame) -> DataFrame:
+    """The parse step over ``raw`` (body)."""
+    m = raw.select(F.from_json("body", S.MANIFEST_JSON).alias("m")).select(F.explode("m.documents").alias("d"))
+    return m.select("d.*").withColumn("title", F.coalesce("title", "doc_id"))
 
 
 def verify_manifest(manifest: DataFrame, files_path: str) -> DataFrame:
     """Documents whose recorded digest differs from the file, or whose file is absent."""
     spark = manifest.sparkSession
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(files_path)
+    return mismatches(manifest, files)
+
+
+def mismatches(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The comparison, with ``files`` (path, content)."""
     digest = files.select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.sha2("content", 256).alias("actual_sha256"))
     j = manifest.withColumn("_name", F.element_at(F.split("raw_path", "/"), -1)).join(digest, "_name", "left")
     return j.filter("actual_sha256 is null or actual_sha256 <> sha256").select("doc_id", "sha256", "actual_sha256")
@@ -48,14 +71,25 @@ def require_intact(manifest: DataFrame, files_path: str) -> None:
 
 def read_pass(spark: SparkSession, path: str, kind: str = "verdicts") -> DataFrame:
     """A recorded transcription (``proposed``) or verification (``verdicts``) pass."""
+    return parse_pass(_bodies(spark, path), kind)
+
+
+def parse_pass(raw: DataFrame, kind: str = "verdicts") -> DataFrame:
+    """The records of ``raw`` (body), each body a JSON array or a single record."""
     schema = S.PROPOSED if kind == "proposed" else S.VERDICT
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    records = ", ".join(f"{n}:{t}" for n, t in (x.split() for x in schema.split(", ")))
+    return raw.select(F.explode(F.from_json("body", f"array<struct<{records}>>")).alias("r")).select("r.*")
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     """A10: GeoJSON polygons as ``layer, pos, props, ring`` (outer ring)."""
-    raw = spark.read.schema(S.LAYER_JSON).option("multiLine", True).json(path)
-    x = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.\w+$", 1).alias("layer"), F.posexplode("features").alias("pos", "f"))
+    return parse_layer(_bodies(spark, path))
+
+
+def parse_layer(raw: DataFrame) -> DataFrame:
+    """A10: the parse step over ``raw`` (file, body)."""
+    features = F.from_json("body", S.LAYER_JSON)["features"]
+    x = raw.select(F.regexp_extract("file", r"([^/]+)\.\w+$", 1).alias("layer"), F.posexplode(features).alias("pos", "f"))
     return x.select("layer", "pos", F.col("f.properties").alias("props"), F.expr(g.from_pairs("f.geometry.coordinates[0]")).alias("ring"))
 
 

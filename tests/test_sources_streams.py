@@ -88,3 +88,16 @@ def test_submission_stream_checks(spark, tmp_path):
     q.stop()
     assert {r.model_id: r["count"] for b in seen.values() for r in b} == {2: 21, 4: 24}
     assert refused == [99]
+
+
+def test_parse_steps_on_broken_bodies(spark):
+    raw = spark.createDataFrame([("a", '{"model_id": 1, "source": "dxf"}'), ("b", '{"model_id": 2'), ("c", None), ("d", "")], "file string, body string")
+    models, rejected = readers.parse_models(raw)
+    assert [(r.file, r.model_id) for r in models.collect()] == [("a", 1)] and {r.file for r in rejected.collect()} == {"b", "c", "d"}
+    one = '[{"clause_id": "x:1", "verdict": "match"}, {"clause_id": "x:2", "verdict": "mismatch"}]'
+    passes = spark.createDataFrame([(one,), (None,), ('{"clause_id": "y:1"}',), ("[]",)], "body string")
+    assert [(r.clause_id, r.verdict) for r in readers.parse_pass(passes).orderBy("clause_id").collect()] == [("x:1", "match"), ("x:2", "mismatch"), ("y:1", None)]
+    lines = spark.createDataFrame([('{"clause_id": "d:1", "page": 3}',), ("",), (None,)], "value string")
+    assert [(r.clause_id, r.page) for r in readers.parse_clauses(lines).collect()] == [("d:1", 3)]
+    gone = readers.mismatches(readers.parse_manifest(spark.createDataFrame([('{"documents": [{"doc_id": "a", "raw_path": "raw/a", "sha256": "0"}]}',), (None,)], "body string")), spark.createDataFrame([], "path string, content binary"))
+    assert [(r.doc_id, r.actual_sha256) for r in gone.collect()] == [("a", None)]
